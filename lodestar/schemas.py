@@ -1,0 +1,20 @@
+"""Explicit schemas of the fact tables and of the graph."""
+
+from __future__ import annotations
+
+FILES = "file STRING, lang STRING, pkg STRING, is_test BOOLEAN, content_hash STRING, line_count INT"
+DEFS = (
+    "file STRING, pos INT, name STRING, kind STRING, start_line INT, end_line INT, exported BOOLEAN, "
+    "receiver STRING, signature STRING, implements_names ARRAY<STRING>"
+)
+REFS = (
+    "file STRING, pos INT, name STRING, qualifier STRING, qualifier_type STRING, line INT, kind STRING, "
+    "member BOOLEAN, enclosing INT"
+)
+IMPORTS = "file STRING, pos INT, spec STRING, alias STRING, names MAP<STRING,STRING>, line INT"
+LOCALS = "file STRING, name STRING"
+NODES = (
+    "id STRING, kind STRING, name STRING, qualified STRING, file STRING, lang STRING, start_line INT, "
+    "end_line INT, exported BOOLEAN, receiver STRING, pkg STRING, signature STRING, pos INT"
+)
+EDGES = "id STRING, src STRING, dst STRING, kind STRING, confidence STRING, line INT"

@@ -1,4 +1,4 @@
-from lodestar.workloads import history, retrieval, traces  # noqa: F401
+from lodestar.workloads import codebase, history, retrieval, traces  # noqa: F401
 from lodestar.workloads.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
