@@ -144,7 +144,7 @@ e0 AS (
 e1 AS (SELECT e.*, x.is_test AS st, y.is_test AS dt FROM e0 e JOIN ends x ON x.repo = e.repo AND x.id = e.src JOIN ends y ON y.repo = e.repo AND y.id = e.dst WHERE e.src <> e.dst),
 e2 AS (SELECT repo, src, dst, kind, confidence, line, 0 AS pass, of, op, oo, oi FROM e1
   UNION ALL SELECT repo, src, dst, 'tests', confidence, line, 1, of, op, oo, oi FROM e1 WHERE kind = 'calls' AND st AND NOT dt),
-edges AS (SELECT repo, kind || '|' || src || '|' || dst || '|' || coalesce(line, 0) AS id, src, dst, kind, confidence, line FROM (
+edges AS (SELECT repo, kind || '|' || src || '|' || dst || '|' || coalesce(line, 0) AS id, src, dst, kind, confidence, line, pass, of, op, oo, oi FROM (
   SELECT *, row_number() OVER (PARTITION BY repo, src, dst, kind, line ORDER BY pass, of, op, oo, oi) AS rn FROM e2) t WHERE rn = 1)
 """
 
@@ -172,12 +172,17 @@ def facts_of(spark, sf_dir) -> resolve.Facts:
     return resolve.Facts(files, defs, view("refs"), imports, view("locals"), modules, None, ("repo",))
 
 
-def settled_graph(spark, sf_dir):
-    facts = facts_of(spark, sf_dir)
-    graph = resolve.resolve(facts)
-    return facts, resolve.Graph(
-        settle(graph.nodes, "nodes"), settle(graph.edges, "edges"), settle(facts.files, "files"), graph.unresolved, graph.keys
-    )
+_INDEXED: dict = {}
+
+
+def indexed(spark, sf_dir):
+    """Facts and graph of one data directory, resolved once per session and then queried."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _INDEXED:
+        facts = facts_of(spark, sf_dir)
+        g = resolve.resolve(facts)
+        _INDEXED[key] = facts, resolve.Graph(g.nodes, settle(g.edges, "edges"), g.files, settle(g.unresolved, "unresolved"), g.keys)
+    return _INDEXED[key]
 
 
 @workload("graph_nodes", f"WITH {RESOLVED} SELECT repo, id, kind, name, qualified, file, start_line, end_line, receiver, exported FROM sym "
@@ -188,7 +193,7 @@ def graph_nodes(spark, sf_dir):
     return nodes.select("repo", "id", "kind", "name", "qualified", "file", "start_line", "end_line", "receiver", "exported")
 
 
-@workload("graph_edges", f"WITH {RESOLVED} SELECT * FROM edges")
+@workload("graph_edges", f"WITH {RESOLVED} SELECT repo, id, src, dst, kind, confidence, line FROM edges")
 def graph_edges(spark, sf_dir):
     return resolve.resolve(facts_of(spark, sf_dir)).edges.drop("ord")
 
@@ -212,5 +217,5 @@ def import_targets(spark, sf_dir):
     FROM f JOIN s USING (repo) JOIN e USING (repo) LEFT JOIN u USING (repo)""",
 )
 def graph_stats(spark, sf_dir):
-    _, graph = settled_graph(spark, sf_dir)
+    _, graph = indexed(spark, sf_dir)
     return resolve.graph_stats(graph)
