@@ -1,4 +1,4 @@
-from lodestar.workloads import codebase, history, navigation, retrieval, traces  # noqa: F401
+from lodestar.workloads import codebase, history, navigation, retrieval, texts, traces  # noqa: F401
 from lodestar.workloads.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
