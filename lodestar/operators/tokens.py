@@ -88,10 +88,11 @@ def with_openers(tokens: DataFrame, keys=()) -> DataFrame:
     at = Window.partitionBy(*keys, "file", "_level").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     opened = tokens.withColumn("_level", level).withColumn(
         "_open",
-        F.last(F.when(F.col("tok") == "(", F.struct("prev1", "prev2", F.col("i").alias("at"))), True).over(at),
+        F.last(F.when(F.col("tok") == "(", F.struct("prev1", "prev2", F.col("i").alias("at"), "d")), True).over(at),
     )
     return opened.select(
-        *tokens.columns, F.col("_open.prev1").alias("open_prev1"), F.col("_open.prev2").alias("open_prev2"), F.col("_open.at").alias("open_at")
+        *tokens.columns, F.col("_open.prev1").alias("open_prev1"), F.col("_open.prev2").alias("open_prev2"), F.col("_open.at").alias("open_at"),
+        F.col("_open.d").alias("open_d"),
     )
 
 
