@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 IDENTIFIER = r"[\p{L}_$][\p{L}\p{N}_$]*"
-SPACE = r"[ \t\r\f]+"
+SPACE = r"\s*+"
+BLANKS = " \t\r\n\f\u000b"
 LINE_COMMENT = r"//[^\n]*+"
 BLOCK_COMMENT = r"/\*[\s\S]*?(?:\*/|\z)"
 DOUBLE_QUOTED = r'"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"?'
@@ -24,12 +25,13 @@ NUMBER = r"\.?[0-9][\p{L}\p{N}_.]*+"
 # A slash starts a pattern only where an operand is expected.
 REGEX_LITERAL = r"(?<=[(,=:\[!&|?{};+\n]\s{0,8})/(?![/*])(?:[^/\\\n\[]|\\.|\[(?:[^\]\\\n]|\\.)*+\])++/[a-z]*+"
 
-GO_TOKENS = "|".join(
-    [r"\n", SPACE, LINE_COMMENT, BLOCK_COMMENT, DOUBLE_QUOTED, SINGLE_QUOTED, RAW_QUOTED, IDENTIFIER, NUMBER, r":=|\.\.\.|<-|==|!=|<=|>=|&&|\|\|", r"[\s\S]"]
-)
-TS_TOKENS = "|".join(
-    [r"\n", SPACE, LINE_COMMENT, BLOCK_COMMENT, REGEX_LITERAL, DOUBLE_QUOTED, SINGLE_QUOTED, TEMPLATE, IDENTIFIER, NUMBER, r"=>|\.\.\.|\?\.|===|!==|==|!=|<=|>=|&&|\|\||\?\?", r"[\s\S]"]
-)
+# Every token carries the blanks before it, so that blanks take no rows of their own.
+GO_TOKENS = SPACE + "(?:" + "|".join(
+    [LINE_COMMENT, BLOCK_COMMENT, DOUBLE_QUOTED, SINGLE_QUOTED, RAW_QUOTED, IDENTIFIER, NUMBER, r":=|\.\.\.|<-|==|!=|<=|>=|&&|\|\|", r"\S"]
+) + ")"
+TS_TOKENS = SPACE + "(?:" + "|".join(
+    [LINE_COMMENT, BLOCK_COMMENT, REGEX_LITERAL, DOUBLE_QUOTED, SINGLE_QUOTED, TEMPLATE, IDENTIFIER, NUMBER, r"=>|\.\.\.|\?\.|===|!==|==|!=|<=|>=|&&|\|\||\?\?", r"\S"]
+) + ")"
 
 
 def in_file(keys) -> Window:
@@ -44,26 +46,30 @@ def tokenize(files: DataFrame, pattern: str, keys=()) -> DataFrame:
     token, ``prev1..3`` and ``next1..4`` neighbouring tokens.
     """
     keys = list(keys)
-    placed = files.repartition(*keys, "file")
-    raw = placed.select(*keys, "file", F.posexplode(F.regexp_extract_all("content", F.lit(pattern), F.lit(0))).alias("i", "tok"))
+    # A fixed count: sized by its compressed text alone, a partition would be merged with
+    # others before its text grows into tokens.
+    parts = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = files.repartition(parts, *keys, "file")
+    raw = placed.select(*keys, "file", F.posexplode(F.regexp_extract_all("content", F.lit(pattern), F.lit(0))).alias("i", "raw"))
     w = in_file(keys)
     before = w.rowsBetween(Window.unboundedPreceding, -1)
-    breaks = F.length("tok") - F.length(F.replace("tok", F.lit("\n"), F.lit("")))
-    located = raw.withColumn("_nl", breaks).select(
+
+    def breaks(column):
+        return F.length(column) - F.length(F.replace(column, F.lit("\n"), F.lit("")))
+
+    sized = raw.withColumn("tok", F.ltrim("raw", F.lit(BLANKS))).select(
+        *keys, "file", "i", "tok", F.length("raw").alias("_len"), (F.length("raw") - F.length("tok")).alias("_pad"),
+        breaks("raw").alias("_nl"), breaks("tok").alias("_own"),
+    )
+    located = sized.select(
         *keys, "file", "i", "tok",
-        F.coalesce(F.sum(F.length("tok")).over(before), F.lit(0)).alias("off"),
-        (F.coalesce(F.sum("_nl").over(before), F.lit(0)) + 1).alias("line"),
-        "_nl",
+        (F.coalesce(F.sum("_len").over(before), F.lit(0)) + F.col("_pad")).alias("off"),
+        (F.coalesce(F.sum("_nl").over(before), F.lit(0)) + F.col("_nl") - F.col("_own") + 1).alias("line"),
+        "_own",
     )
-    head = F.substring("tok", 1, 1)
-    cls = (
-        F.when(F.col("tok").rlike("^(\\s+|//[\\s\\S]*|/\\*[\\s\\S]*)$"), "skip")
-        .when(head.isin('"', "'", "`"), "string")
-        .when(F.col("tok").rlike(f"^{IDENTIFIER}$"), "ident")
-        .when(F.col("tok").rlike("^\\.?[0-9]"), "number")
-        .otherwise("op")
+    kept = located.filter(~F.col("tok").startswith("//") & ~F.col("tok").startswith("/*")).select(
+        *keys, "file", "i", "tok", "off", "line", (F.col("line") + F.col("_own")).alias("endl")
     )
-    kept = located.withColumn("cls", cls).filter("cls <> 'skip'").withColumn("endl", F.col("line") + F.col("_nl"))
 
     def depth(opening, closing):
         step = F.when(F.col("tok") == opening, 1).when(F.col("tok") == closing, -1).otherwise(0)
@@ -71,15 +77,37 @@ def tokenize(files: DataFrame, pattern: str, keys=()) -> DataFrame:
         # a closing token stands at the depth of its partner
         return F.when(F.col("tok") == closing, outside - 1).otherwise(outside)
 
-    return kept.select(
-        *keys, "file", "i", "tok", "cls", "off", "line", "endl",
+    near = kept.select(
+        *keys, "file", "i", "tok", "off", "line", "endl",
         F.coalesce(F.lag("endl").over(w) < F.col("line"), F.lit(True)).alias("fol"),
         depth("{", "}").alias("d"), depth("(", ")").alias("p"), depth("[", "]").alias("b"),
         *[F.lag("tok", n).over(w).alias(f"prev{n}") for n in (1, 2, 3)],
-        F.lag("cls", 1).over(w).alias("prev_cls"), F.lag("cls", 2).over(w).alias("prev_cls2"),
         *[F.lead("tok", n).over(w).alias(f"next{n}") for n in (1, 2, 3, 4)],
-        F.lead("cls", 1).over(w).alias("next_cls"), F.lead("cls", 2).over(w).alias("next_cls2"),
     )
+    return near.select(
+        "*", token_class("tok").alias("cls"), token_class("prev1").alias("prev_cls"), token_class("prev2").alias("prev_cls2"),
+        token_class("next1").alias("next_cls"), token_class("next2").alias("next_cls2"),
+    )
+
+
+def token_class(column: str) -> Column:
+    """``ident``, ``string``, ``number`` or ``op``, told by how the token begins."""
+    return (
+        F.when(F.substring(column, 1, 1).isin('"', "'", "`"), "string")
+        .when(F.col(column).rlike("^[\\p{L}_$]"), "ident")
+        .when(F.col(column).rlike("^\\.?[0-9]"), "number")
+        .when(F.col(column).isNotNull(), "op")
+    )
+
+
+def next_value(value: Column, keys, *levels) -> Column:
+    """First non-null ``value`` after the token, within its file and, if given, nesting levels.
+
+    Read backwards as a running last value; a frame that looks forward would be
+    evaluated anew for every row.
+    """
+    backwards = Window.partitionBy(*keys, "file", *levels).orderBy(F.col("i").desc())
+    return F.last(value, True).over(backwards.rowsBetween(Window.unboundedPreceding, -1))
 
 
 def with_openers(tokens: DataFrame, keys=()) -> DataFrame:
