@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from lodestar.operators import ledger, telemetry
@@ -10,6 +12,7 @@ from lodestar.operators.pricing import PRICES, price_table, with_cost
 from lodestar.functions.text import estimate_tokens
 from lodestar.plans.report import REPORT_ROWS, report_rows, verdict
 from lodestar.session import register_tables, table
+from lodestar.streaming import ledger as stream_ledger
 from lodestar.workloads.registry import workload
 
 # One text for both engines: which trace event each row of the stream stands for.
@@ -388,3 +391,26 @@ def context_trim(spark, sf_dir):
         F.col("conv_id").alias("run_id"), F.col("turn").alias("idx"), "role", F.col("text").alias("content")
     )
     return ledger.trim_outcome(ledger.trim_context(messages, 400, keep_recent=2, role="assistant"))
+
+
+# -- the same state as a stream ---------------------------------------------------
+
+
+@workload(
+    "stream_attribution",
+    f"""WITH {TRACE}, {SURFACED}, {TOUCHES}, p AS (SELECT *, lag(kind) OVER w AS pk, lag(hash) OVER w AS ph FROM touches
+      WINDOW w AS (PARTITION BY run_id, path ORDER BY seq))
+    SELECT p.run_id, p.path, p.seq, p.kind AS action, coalesce(f.source, 'unseen') AS attributed_source, f.turn AS first_surfaced_turn,
+      p.kind = 'read' AND coalesce(p.pk = 'read', FALSE) AS seen_before,
+      p.kind = 'read' AND coalesce(p.pk = 'read' AND p.ph = p.hash, FALSE) AS unchanged
+    FROM p LEFT JOIN firsts f ON f.run_id = p.run_id AND f.path = p.path AND f.seq < p.seq""",
+)
+def stream_attribution(spark, sf_dir):
+    schema = table(spark, sf_dir, "events").schema
+    arriving = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    view = f"arriving_{uuid.uuid4().hex}"
+    arriving.createOrReplaceTempView(view)
+    rows = spark.sql(f"WITH {TRACE.replace('FROM events', 'FROM ' + view)} SELECT * FROM trace")
+    events = rows.withColumn("paths", F.split("shown", ",")).withColumn("hash", F.concat(F.lit("h"), (F.col("k") % 3).cast("string")))
+    path = stream_ledger.run_to_files(stream_ledger.attribute_stream(stream_ledger.touches_of(events)), "attribution")
+    return spark.read.schema(stream_ledger.OUTPUT_SCHEMA).parquet(path)
