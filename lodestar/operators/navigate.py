@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lodestar.constants import CONFIDENCE_RANK, KIND_PRIORITY, lookup_sql
 from lodestar.operators.ranking import locale_order
 from lodestar.operators.resolve import Graph, file_id
+from lodestar.session import settle
 
 # Rows of a relation: (keys, anchor, label, node, via, confidence, line, tie).
 GROUP_LABELS_SYMBOL = ("Calls", "Called by", "Uses types", "Implementations", "Related tests")
@@ -145,7 +146,7 @@ def neighbors(graph: Graph, anchors: DataFrame | None = None, per_group: int = 8
     ``anchors(keys, anchor)`` restricts the answer to some node ids.
     """
     keys = list(graph.keys)
-    rows = _outside_tests(relations(graph), graph)
+    rows = settle(_outside_tests(relations(graph), graph), "relations")
     columns = [*keys, "anchor", "label", "node", "via", "confidence", "line"]
     contains = graph.edges.filter(F.col("kind") == "contains")
     shown = graph.nodes.filter(F.col("kind") != "test").select(*keys, F.col("id").alias("dst"))
@@ -163,6 +164,7 @@ def neighbors(graph: Graph, anchors: DataFrame | None = None, per_group: int = 8
         every = every.filter(F.col("confidence") != "heuristic")
     if anchors is not None:
         every = every.join(anchors.select(*keys, "anchor"), [*keys, "anchor"], "left_semi")
+    every = settle(every, "groups")
     return ranked(every, graph.nodes, keys, ["anchor", "label"], per_group)
 
 
@@ -197,9 +199,10 @@ def impact(graph: Graph, changed: DataFrame, per_group: int = 12) -> DataFrame:
     touched = changed.join(symbols, [*keys, "file"]).select(
         *by, "anchor", F.struct(F.col("ord").alias("o"), F.col("pos").alias("p")).alias("place")
     )
+    rows = settle(relations(graph).filter(F.col("label").isin("Called by", "Implementations", "Related tests")), "relations")
+    code_callers = settle(_outside_tests(rows.filter(F.col("label") == "Called by"), graph), "callers")
+    touched = settle(touched, "touched")
     is_changed = touched.select(*by, F.col("anchor").alias("node")).distinct()
-    rows = relations(graph)
-    code_callers = _outside_tests(rows.filter(F.col("label") == "Called by"), graph)
 
     def reached(label, source):
         return keep_best(
@@ -209,7 +212,7 @@ def impact(graph: Graph, changed: DataFrame, per_group: int = 12) -> DataFrame:
             [*by, "node"],
         )
 
-    direct = reached("Called by", code_callers).join(is_changed, [*by, "node"], "left_anti")
+    direct = settle(reached("Called by", code_callers).join(is_changed, [*by, "node"], "left_anti"), "direct")
     first = (
         touched.join(code_callers, [*keys, "anchor"])
         .groupBy(*by, "node")
@@ -234,7 +237,7 @@ def impact(graph: Graph, changed: DataFrame, per_group: int = 12) -> DataFrame:
     ):
         part = part.select(*columns).withColumn("label", F.lit(name))
         groups = part if groups is None else groups.unionByName(part)
-    return ranked(groups, graph.nodes, keys, ["change", "label"], per_group)
+    return ranked(settle(groups, "surface"), graph.nodes, keys, ["change", "label"], per_group)
 
 
 def covering_test_files(graph: Graph, changed: DataFrame) -> DataFrame:

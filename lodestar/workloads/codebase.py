@@ -195,12 +195,14 @@ def graph_nodes(spark, sf_dir):
 
 @workload("graph_edges", f"WITH {RESOLVED} SELECT repo, id, src, dst, kind, confidence, line FROM edges")
 def graph_edges(spark, sf_dir):
-    return resolve.resolve(facts_of(spark, sf_dir)).edges.drop("ord")
+    _, graph = indexed(spark, sf_dir)
+    return graph.edges.drop("ord")
 
 
 @workload("unresolved_refs", f"WITH {RESOLVED} SELECT * FROM unres")
 def unresolved_refs(spark, sf_dir):
-    return resolve.resolve(facts_of(spark, sf_dir)).unresolved
+    _, graph = indexed(spark, sf_dir)
+    return graph.unresolved
 
 
 @workload("import_targets", f"WITH {RESOLVED} SELECT repo, file, pos, spec, import_dir, import_file FROM imp")
