@@ -149,6 +149,18 @@ def test_running_and_previous_match_plain_windows(spark):
     assert sorted(map(tuple, plain.collect()), key=str) == sorted(map(tuple, cut.select("k", "seq", "v", "s", "m", "p").collect()), key=str)
 
 
+def test_nearest_rank_is_exact(spark):
+    import random
+
+    rng = random.Random(7)
+    values = {"hot": [rng.choice([1.5, rng.random() * 100]) for _ in range(4000)], "few": [3.0, 1.0, 2.0], "one": [9.0]}
+    df = spark.createDataFrame([(k, v) for k, vs in values.items() for v in vs], "k STRING, v DOUBLE")
+    got = {r["k"]: r for r in ordered.nearest_rank(df, ["k"], "v", (0, 50, 95, 100)).collect()}
+    for k, vs in values.items():
+        for p in (0, 50, 95, 100):
+            assert got[k][f"p{p}"] == sorted(vs)[min(len(vs) - 1, p * len(vs) // 100)], (k, p)
+
+
 def test_trim_replaces_oldest_results_until_it_fits(spark):
     body = "x" * 2000
     rows = [("r", 0, "system", "s"), ("r", 1, "user", "u")] + [("r", i, "tool", body) for i in range(2, 8)] + [("r", 8, "tool", "Edited a.go " + body), ("r", 9, "assistant", "ok")]
@@ -254,7 +266,7 @@ def test_verdicts(spark, base, cand, helped, reason):
 def test_text_functions(spark):
     row = spark.range(1).select(
         text.trigrams(F.lit("ab")).alias("t"), text.trigram_similarity(F.lit("night"), F.lit("nacht")).alias("s"),
-        text.identifier_words(F.lit("addPokemonHandler2")).alias("w"), text.pad_right(F.lit("abcdef"), 3).alias("p"),
+        text.identifier_words(F.lit("addEntryHandler2")).alias("w"), text.pad_right(F.lit("abcdef"), 3).alias("p"),
         text.count_lines(F.lit("")).alias("zero"), text.number_lines(F.lit("a\nb"), 9).alias("n"), text.clip(F.lit("x" * 30), 10).alias("c"),
         text.signature(F.lit("func f() {\n}")).alias("g"), paths.normalize(F.lit("a/../b/./c")).alias("norm"), paths.dirname(F.lit("x.go")).alias("d"),
         paths.extname(F.lit("a/.env")).alias("e"), paths.normalize_anchor(F.lit(" /r/./a.go "), "/r").alias("a"),
@@ -262,7 +274,7 @@ def test_text_functions(spark):
         logs.toolchain_missing(F.lit(1), F.lit("sh: go: command not found")).alias("missing"),
     ).first()
     assert row["t"] == ["  a", " ab", "ab "] and round(row["s"], 4) == 0.3333
-    assert row["w"] == ["add", "pokemon", "handler2"] and row["p"] == "abcdef" and row["zero"] == 0
+    assert row["w"] == ["add", "entry", "handler2"] and row["p"] == "abcdef" and row["zero"] == 0
     assert row["n"] == "    9  a\n   10  b" and row["c"] == "xxx\n… [20 characters trimmed] …\nxxxxxxx"
     assert (row["g"], row["norm"], row["d"], row["e"], row["a"]) == ("func f()", "b/c", ".", "", "a.go")
     assert json.loads(row["ok"]) == {"a": 1} and json.loads(row["bad"]) == {"__unparsed": "{broken"} and row["missing"]
