@@ -128,26 +128,25 @@ def with_blocks(tokens: DataFrame, keys=()) -> DataFrame:
     """Add to each opening brace where its block ends (``close_i``, ``close_end``, ``close_line``).
 
     Opening and closing braces of one level alternate, so the partner is the next brace
-    of the level. Blocks that follow each other directly, as a braced return type and
+    of the level. All windows keep the partitioning by file. Blocks that follow each other directly, as a braced return type and
     the body after it, count as one.
     """
-    level = Window.partitionBy(*keys, "file", "d").orderBy("i")
-    brace = F.col("tok").isin("{", "}")
-    partner = tokens.filter(brace).select(
-        *keys, "file", "i", "tok", "d", "prev1", "prev2",
-        F.lead("i").over(level).alias("close_i"), F.lead("line").over(level).alias("close_line"),
-        (F.lead("off").over(level) + 1).alias("close_end"),
-    )
-    opening = partner.filter("tok = '{'")
+    by_level = [*keys, "file", "d", "_brace"]
+    level = Window.partitionBy(*by_level).orderBy("i")
+    opening = F.col("tok") == "{"
     joined = (F.col("prev1") == "}") | (F.col("prev1").isin("|", "&") & (F.col("prev2") == "}"))
-    runs = opening.withColumn(
-        "_run", F.sum(F.when(joined, 0).otherwise(1)).over(level.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    starts_run = F.when(opening & ~F.coalesce(joined, F.lit(False)), 1).otherwise(0)
+    partner = F.lead(F.struct("i", "line", F.col("off").alias("end"))).over(level)
+    marked = tokens.withColumn("_brace", F.col("tok").isin("{", "}")).select(
+        "*", F.when(opening, partner).alias("_close"), F.sum(starts_run).over(level.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("_run")
     )
-    ends = runs.select(
-        *keys, "file", "i",
-        *[F.max(c).over(Window.partitionBy(*keys, "file", "d", "_run")).alias(c) for c in ("close_i", "close_line", "close_end")],
+    last = F.max("_close").over(Window.partitionBy(*by_level, "_run"))
+    return marked.withColumn("_last", F.when(opening, last)).select(
+        *tokens.columns,
+        F.col("_last.i").alias("close_i"),
+        F.col("_last.line").alias("close_line"),
+        (F.col("_last.end") + 1).alias("close_end"),
     )
-    return tokens.join(ends, [*keys, "file", "i"], "left")
 
 
 def node_text(content: Column, start: Column, end: Column) -> Column:
