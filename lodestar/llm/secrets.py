@@ -1,0 +1,139 @@
+"""Secret scan: fixed patterns, and strings that a public vocabulary cannot shorten."""
+
+from __future__ import annotations
+
+import base64
+import hashlib
+import re
+from functools import lru_cache
+from typing import NamedTuple
+
+import pyarrow as pa
+import tiktoken
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from lodestar.llm.common import texts_of
+
+#: Kinds in the order in which spans that start together are listed.
+KINDS = ("assign", "access", "hex", "token")
+ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
+ACCESS = re.compile(r"AKIA[A-Z0-9]+")
+HEX = re.compile(r"[0-9a-f]+")
+LEAST_ASSIGNED, LEAST_ACCESS, LEAST_HEX = 8, 16, 32
+#: Stretches that may be random strings; no shorter one is weighed.
+RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
+#: Characters per token below which a stretch counts as random.
+LEAST_PER_TOKEN = 2.2
+#: Lengths of the hex digests in common use (MD5, SHA-1, SHA-2).
+DIGEST_LENGTHS = {32, 40, 56, 64, 96, 128}
+DIGEST = re.compile(r"[0-9a-fA-F]+")
+UUID = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
+#: Words joined by marks or capitals, with a number at most at their ends: names, not secrets.
+IDENTIFIER = re.compile(r"[/_=+-]*(?:(?:[A-Z]?[a-z]+|[A-Z]+)\d{0,4}[/_=+-]*)+|[\d/_=+-]+")
+MASK = "[SECRET]"
+
+
+class Span(NamedTuple):
+    start: int
+    end: int
+    kind: str
+
+
+@lru_cache(maxsize=2)
+def encoding(path: str, pattern: str) -> tiktoken.Encoding:
+    with open(path, "rb") as file:
+        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)}
+    return tiktoken.Encoding("secrets", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
+
+def base_spans(text: str) -> list[Span]:
+    found = []
+    if ":" in text or "=" in text:
+        found += [Span(*m.span(), "assign") for m in ASSIGN.finditer(text) if len(m[2]) >= LEAST_ASSIGNED]
+    if "AKIA" in text:
+        found += [Span(*m.span(), "access") for m in ACCESS.finditer(text) if m.end() - m.start() >= LEAST_ACCESS]
+    for run in RUN.finditer(text):  # a hex string of this length lies within such a stretch
+        found += [Span(run.start() + m.start(), run.start() + m.end(), "hex") for m in HEX.finditer(run[0]) if m.end() - m.start() >= LEAST_HEX]
+    return ordered(found)
+
+
+def ordered(spans: list[Span]) -> list[Span]:
+    return sorted(spans, key=lambda s: (s.start, KINDS.index(s.kind)))
+
+
+def is_random(run: str, vocabulary: tiktoken.Encoding) -> bool:
+    """Whether the vocabulary needs so many tokens that nobody would have written ``run``."""
+    core = run.strip("=+/_-")
+    if UUID.fullmatch(core) or DIGEST.fullmatch(core) and len(core) in DIGEST_LENGTHS or IDENTIFIER.fullmatch(run):
+        return False
+    if not (re.search(r"\d", core) and re.search(r"[A-Za-z]", core)):
+        return False
+    # in stretches, so that a text of one endless run costs no more than its length
+    tokens = sum(len(vocabulary.encode_ordinary(run[i : i + 4096])) for i in range(0, len(run), 4096))
+    return len(run) < LEAST_PER_TOKEN * tokens
+
+
+def spans_of(text: str, vocabulary: tiktoken.Encoding) -> tuple[list[Span], list[Span]]:
+    """The base spans, and all spans: a random string adds one where no base span lies."""
+    base = base_spans(text)
+    added = []
+    for run in RUN.finditer(text):
+        if not any(s.start < run.end() and run.start() < s.end for s in base) and is_random(run[0], vocabulary):
+            added.append(Span(*run.span(), "token"))
+    return base, ordered(base + added)
+
+
+def joined(spans: list[Span]) -> str:
+    return ",".join(f"{s.kind}:{s.start}:{s.end}" for s in spans)
+
+
+def masked(text: str, spans: list[Span]) -> str:
+    """``text`` with every stretch that spans cover put as one mask."""
+    out, at = [], 0
+    for s in spans:
+        if s.start >= at:
+            out += [text[at : s.start], MASK]
+        at = max(at, s.end)
+    return "".join([*out, text[at:]])
+
+
+def scan(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """Secrets of every whole text of ``docs`` (doc_id, text); ``path``: the vocabulary's ranks.
+
+    Returns doc_id, n_assign, n_access, n_hex, n_token, base_sha256 and spans. A null or empty
+    text has none and the digest of the empty string; rows stand for themselves, so repeated
+    ones give repeated results; other columns are not read.
+    """
+
+    def run(batches):
+        vocabulary = encoding(path, pattern)
+        for batch in batches:
+            rows = [spans_of(t.as_py(), vocabulary) for t in texts_of(batch.column("text"))]
+            kinds = [[s.kind for s in spans] for _, spans in rows]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("doc_id"),
+                    *(pa.array([k.count(kind) for k in kinds], pa.int64()) for kind in KINDS),
+                    pa.array([hashlib.sha256(joined(base).encode()).hexdigest() for base, _ in rows], pa.string()),
+                    pa.array([joined(spans) for _, spans in rows], pa.string()),
+                ],
+                names=["doc_id", *(f"n_{kind}" for kind in KINDS), "base_sha256", "spans"],
+            )
+
+    schema = "doc_id long, n_assign long, n_access long, n_hex long, n_token long, base_sha256 string, spans string"
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+
+
+def mask(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """``docs`` with every secret in ``text`` masked; texts without one, and nulls, stay as they are."""
+
+    def run(batches):
+        vocabulary = encoding(path, pattern)
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            texts = [t if t is None or not (spans := spans_of(t, vocabulary)[1]) else masked(t, spans) for t in texts]
+            at = batch.schema.get_field_index("text")
+            yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
+
+    return docs.mapInArrow(run, docs.schema)
