@@ -35,7 +35,7 @@ def chain(rows: DataFrame) -> DataFrame:
     """
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     node = F.row_number().over(order).cast("long")
-    placed = rows.select("conv_id", node.alias("node"), "role", "text")
+    placed = settle(rows.select("conv_id", node.alias("node"), "role", "text"), "chat-turns")
     return placed.withColumn("parent", F.when(F.col("node") > 1, F.col("node") - 1)).withColumn("score", F.lit(0.0))
 
 
@@ -81,7 +81,7 @@ def paths(nodes: DataFrame, branches: int | None = 1) -> DataFrame:
     for k, jump in enumerate(jumps[:-1]):
         step = jump.select("conv_id", "node", "up").filter(F.col("up").isNotNull())
         above = found.join(step, ["conv_id", "node"]).select("conv_id", "leaf", F.col("up").alias("node"), (F.col("depth") - (1 << k)).alias("depth"))
-        found = found.unionByName(above)
+        found = settle(found.unionByName(above), "chat-paths")  # read twice by the next round
     return found
 
 

@@ -8,11 +8,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import bpe, chat, language, licenses, mixing, secrets
+from lodestar.llm import bpe, chat, fingerprints, language, licenses, mixing, near_text, near_vectors, secret_scan, toxicity
 from lodestar.session import table
 
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+TOKEN_PATTERN = public_tokenizers.PATTERN
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -28,6 +29,16 @@ def register(name: str, sql: str | None = None):
     return keep
 
 
+@register("op1_embedding_near_dedup")
+def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@register("op2_document_fingerprints")
+def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
 @register("op3_license_scan")
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scan(table(spark, sf_dir, "documents"))
@@ -36,7 +47,7 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("op4_secret_scan")
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.scan(table(spark, sf_dir, "documents"), BYTE_RANKS, public_tokenizers.PATTERN)
+    return secret_scan.scan(table(spark, sf_dir, "documents"), BYTE_RANKS, TOKEN_PATTERN)
 
 
 @register("op5_language_id")
@@ -44,6 +55,16 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
 
+@register("op6_toxicity")
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.grade(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@register("op7_minhash_near_dedup")
+def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_text.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @register("op8_source_mixing", mixing.MIX_SQL)
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
