@@ -103,13 +103,9 @@ def filters(texts: pa.Array) -> list[np.ndarray]:
     return [packed[f : f + c] for f, c in zip(first, chain, strict=True)]
 
 
-def written(chain: np.ndarray) -> str:
-    return ".".join(row.tobytes().hex() for row in chain)
-
-
 def read(fingerprint: str) -> np.ndarray:
-    raw = bytes.fromhex(fingerprint.replace(".", ""))
-    return np.frombuffer(raw, np.uint8).reshape(-1, BITS // 8)
+    """The chain that a fingerprint writes in hexadecimal digits."""
+    return np.frombuffer(bytes.fromhex(fingerprint), np.uint8).reshape(-1, BITS // 8)
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
@@ -142,7 +138,7 @@ def edited(text: str, following: str) -> str:
 
 
 #: What is returned of each document.
-RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
 
 
 def compared(ids: list, texts: list[str], following: list[str]) -> list[tuple]:
@@ -166,8 +162,8 @@ def compared(ids: list, texts: list[str], following: list[str]) -> list[tuple]:
                     ids[at + i],
                     len(own[i]),
                     hashlib.sha256(new[i].encode()).hexdigest(),
-                    written(chains[i]),
-                    written(chains[n + i]),
+                    chains[i].tobytes(),
+                    chains[n + i].tobytes(),
                     likeness(chains[i], chains[n + i]),
                     likeness(chains[i], after[i]),
                 )
@@ -177,7 +173,7 @@ def compared(ids: list, texts: list[str], following: list[str]) -> list[tuple]:
 
 
 NAMES = [f.split()[0] for f in RESULT.split(", ")]
-ARROW = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+ARROW = [pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.float64(), pa.float64()]
 
 
 def batch_of(rows: list[tuple], edges: list[tuple]) -> pa.RecordBatch:
@@ -235,4 +231,5 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
             rows = compared(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "following")))
             yield batch_of(rows, []).select(NAMES)
 
-    return found.filter("edge IS NULL").select(*NAMES).unionByName(rest.mapInArrow(finish, RESULT))
+    every = found.filter("edge IS NULL").select(*NAMES).unionByName(rest.mapInArrow(finish, RESULT))
+    return every.withColumns({c: F.lower(F.hex(c)) for c in ("fingerprint", "edited_fingerprint")})
