@@ -53,34 +53,28 @@ def paths(nodes: DataFrame, branches: int | None = 1) -> DataFrame:
         "conv_id", "node", F.when(F.col("present"), F.col("parent")).alias("up"), F.col("score").alias("sum"), F.lit(1).cast("long").alias("length")
     )
     inner = keys.select("conv_id", F.col("parent").alias("node")).filter(F.col("node").isNotNull()).distinct()
+    # jumps[k]: who is 2 ** k above, for the nodes that are that deep; rooted: sums up to the root
     jump = settle(jump, "chat-jump")
-    jumps = [jump]
-    while not jumps[-1].filter(F.col("up").isNotNull()).isEmpty():
+    rooted, jumps = jump.filter(F.col("up").isNull()), [jump.filter(F.col("up").isNotNull())]
+    while not jumps[-1].isEmpty():
         if len(jumps) > 40:
             raise ValueError("parents form a circle")
-        near = jumps[-1]
-        far = near.select("conv_id", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("sum").alias("sum2"), F.col("length").alias("length2"))
-        jumps.append(
-            settle(
-                near.join(far, ["conv_id", "up"], "left").select(
-                    "conv_id",
-                    "node",
-                    F.col("up2").alias("up"),
-                    (F.col("sum") + F.coalesce("sum2", F.lit(0.0))).alias("sum"),
-                    (F.col("length") + F.coalesce("length2", F.lit(0))).alias("length"),
-                ),
-                "chat-jump",
-            )
+        far = jumps[-1].unionByName(rooted)
+        far = far.select("conv_id", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("sum").alias("sum2"), F.col("length").alias("length2"))
+        doubled = jumps[-1].join(far, ["conv_id", "up"]).select(
+            "conv_id", "node", F.col("up2").alias("up"), (F.col("sum") + F.col("sum2")).alias("sum"), (F.col("length") + F.col("length2")).alias("length")
         )
-    leaves = jumps[-1].join(inner, ["conv_id", "node"], "left_anti")
+        doubled = settle(doubled, "chat-jump")
+        rooted = rooted.unionByName(doubled.filter(F.col("up").isNull()))
+        jumps.append(doubled.filter(F.col("up").isNotNull()))
+    leaves = rooted.join(inner, ["conv_id", "node"], "left_anti")
     if branches is not None:
         best = Window.partitionBy("conv_id").orderBy(F.desc("sum"), "node")
         leaves = leaves.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= branches)
     found = leaves.select("conv_id", F.col("node").alias("leaf"), "node", F.col("length").alias("depth"))
     found = settle(found, "chat-leaves")  # as stored columns, leaf and node are told apart by the planner
     for k, jump in enumerate(jumps[:-1]):
-        step = jump.select("conv_id", "node", "up").filter(F.col("up").isNotNull())
-        above = found.join(step, ["conv_id", "node"]).select("conv_id", "leaf", F.col("up").alias("node"), (F.col("depth") - (1 << k)).alias("depth"))
+        above = found.join(jump.select("conv_id", "node", "up"), ["conv_id", "node"]).select("conv_id", "leaf", F.col("up").alias("node"), (F.col("depth") - (1 << k)).alias("depth"))
         found = settle(found.unionByName(above), "chat-paths")  # read twice by the next round
     return found
 
