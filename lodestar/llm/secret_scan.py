@@ -29,8 +29,9 @@ LEAST_PER_TOKEN = 2.2
 DIGEST_LENGTHS = {32, 40, 56, 64, 96, 128}
 DIGEST = re.compile(r"[0-9a-fA-F]+")
 UUID = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
-#: Words joined by marks or capitals, with a number at most at their ends: names, not secrets.
-IDENTIFIER = re.compile(r"[/_=+-]*(?:(?:[A-Z]?[a-z]+|[A-Z]+)\d{0,4}[/_=+-]*)+|[\d/_=+-]+")
+#: Words of an identifier, as capitals and marks part them, and their least mean length.
+PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+LEAST_PART = 3
 MASK = "[SECRET]"
 
 
@@ -65,10 +66,11 @@ def ordered(spans: list[Span]) -> list[Span]:
 def is_random(run: str, vocabulary: tiktoken.Encoding) -> bool:
     """Whether the vocabulary needs so many tokens that nobody would have written ``run``."""
     core = run.strip("=+/_-")
-    if UUID.fullmatch(core) or DIGEST.fullmatch(core) and len(core) in DIGEST_LENGTHS or IDENTIFIER.fullmatch(run):
-        return False
-    if not (re.search(r"\d", core) and re.search(r"[A-Za-z]", core)):
+    if UUID.fullmatch(core) or DIGEST.fullmatch(core) and len(core) in DIGEST_LENGTHS:
         return False
+    parts = PART.findall(core)
+    if not parts or not re.search(r"\d", core) or sum(map(len, parts)) >= LEAST_PART * len(parts):
+        return False  # words, numbers or a name
     # in stretches, so that a text of one endless run costs no more than its length
     tokens = sum(len(vocabulary.encode_ordinary(run[i : i + 4096])) for i in range(0, len(run), 4096))
     return len(run) < LEAST_PER_TOKEN * tokens

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Container
 from typing import NamedTuple
 
 import numpy as np
@@ -22,24 +23,23 @@ FEATURES, DEVIATIONS = 1024, 5.0
 #: Severity grades of toxic documents; grade 0 is clean.
 GRADES = 3
 #: Probability of a grade above 0 from which a document is rejected.
-REJECT = 0.5
+REJECT = 0.25
 #: Descent: rounds, step and weight decay.
-ROUNDS, STEP, DECAY = 800, 0.1, 1e-4
+ROUNDS, STEP, DECAY = 1500, 0.1, 3e-5
 WORD = re.compile(r"[^\W\d_]+")
-PREFIXES = (4, 5)
+PREFIXES = (4, 5, 6, 7, 8)
 CELLS = 1 << 30
 #: Min-hashes by which copies are taken out of the sample, lest their words count as many texts'.
 COPY_KEYS = 4
 
 
-def features_of(text: str) -> Counter:
-    """Counts of the words of ``text`` and of how they begin (a prefix ends in ``*``)."""
-    words = Counter(WORD.findall(text.lower()))
-    found = Counter(words)
-    for word, n in words.items():
-        for length in PREFIXES:
-            if len(word) >= length:
-                found[word[:length] + "*"] += n
+def features_of(text: str, known: Container[str] | None = None) -> dict[str, int]:
+    """Counts of the words of ``text`` and of how they begin (a prefix ends in ``*``), or of those ``known``."""
+    found: dict[str, int] = {}
+    for word, n in Counter(WORD.findall(text.lower())).items():
+        for feature in (word, *(word[:length] + "*" for length in PREFIXES if len(word) >= length)):
+            if known is None or feature in known:
+                found[feature] = found.get(feature, 0) + n
     return found
 
 
@@ -107,7 +107,7 @@ class Model(NamedTuple):
     def score(self, text: str) -> float:
         total = 0.0
         if self.index:
-            for feature, n in sorted((f, n) for f, n in features_of(text).items() if f in self.index):
+            for feature, n in sorted(features_of(text, self.index).items()):
                 total += self.weights[self.index[feature]] * (1 + np.log(n))
         return total
 
@@ -161,7 +161,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         for batch in batches:
             at, counts = [], []
             for text in texts_of(batch.column("text")):
-                own = sorted((index[f], c) for f, c in features_of(text.as_py()).items() if f in index)
+                own = sorted((index[f], c) for f, c in features_of(text.as_py(), index).items())
                 at.append([i for i, _ in own]), counts.append([c for _, c in own])
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(at, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32()))], names=["toxic", "at", "counts"])
 
