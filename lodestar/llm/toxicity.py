@@ -206,5 +206,10 @@ def grade(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are not rejected, with the columns they had."""
     model = fit(docs, labels)
-    scored = graded(docs.withColumnsRenamed({c: f"{c}_" for c in docs.columns if c in ("severity", "p_toxic", "rejected")}), model, docs.columns)
-    return scored.filter(~F.col("rejected")).select(*docs.columns)
+
+    def run(batches):
+        for batch in batches:
+            chance = model.severities(np.array([model.score(t.as_py()) for t in texts_of(batch.column("text"))], np.float64))
+            yield batch.filter(pa.array(chance[:, 0].round(6) < REJECT))
+
+    return docs.mapInArrow(run, docs.schema)

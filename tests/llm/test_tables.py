@@ -1,0 +1,230 @@
+"""Operators that join rows with each other, against brute force on small tables."""
+
+import itertools
+import math
+import random
+import re
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from lodestar.llm import chat, components, mixing, near_text, near_vectors
+from lodestar.llm.queries import QUERIES
+
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def roots(nodes, links):
+    up = {n: n for n in nodes}
+
+    def root(n):
+        while up[n] != n:
+            n = up[n]
+        return n
+
+    for a, b in links:
+        a, b = sorted((root(a), root(b)))
+        up[b] = a
+    return {n: root(n) for n in nodes}
+
+
+def test_components(spark):
+    rng = random.Random(2)
+    links = [(rng.randrange(300), rng.randrange(300)) for _ in range(170)] + [(i, i + 1) for i in range(1000, 1100)] + [(5, 5)]
+    got = {r.node: r.component for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    want = roots({n for e in links for n in e}, links)
+    assert got == {n: want[n] for e in links if e[0] != e[1] for n in e}
+    assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def plain_vectors(rows):
+    """vec_id -> (links, component) over all pairs."""
+    able = {}
+    for i, v, label in rows:
+        if label is not None and v and None not in v and all(map(math.isfinite, v)) and any(v):
+            able[i] = (np.array(v, float) / np.linalg.norm(np.array(v, float)), label)
+    links = [(i, j) for i, j in itertools.combinations(able, 2) if able[i][1] == able[j][1] and len(able[i][0]) == len(able[j][0]) and able[i][0] @ able[j][0] >= near_vectors.COSINE]
+    own = roots([r[0] for r in rows], links)
+    return {r[0]: (sum(r[0] in e for e in links), own[r[0]]) for r in rows}
+
+
+@pytest.mark.parametrize("cell", [4096, 20])
+def test_near_vectors(spark, monkeypatch, cell):
+    monkeypatch.setattr(near_vectors, "CELL", cell)
+    monkeypatch.setattr(near_vectors, "BLOCK", 16)
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(12, 8))
+    rows = [(i, [float(x) for x in centres[i % 12] + rng.normal(size=8) * 0.3], int(i % 4 > 0)) for i in range(200)]
+    rows += [(200 + i, rows[0][1], 0) for i in range(30)] + [(240 + i, [2 * x for x in rows[0][1]], 0) for i in range(3)]
+    rows += [(300, None, 1), (301, [0.0] * 8, 1), (302, [1.0, None] + [0.0] * 6, 1), (303, [float("nan")] * 8, 1), (304, [float("inf")] + [0.0] * 7, 1)]
+    rows += [(305, rows[0][1], None), (306, [1.0, 0.0], 0), (307, [1.0, 0.01], 0), (308, [], 0), (309, [1e-30] * 8, 1), (310, [1e30] * 8, 1)]
+    random.Random(1).shuffle(rows)
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").withColumn("cell", F.lit("x")).withColumn("n_links", F.lit(1))
+    got = {r.vec_id: (r.n_links, r.component_id) for r in near_vectors.near_vectors(frame).collect()}
+    assert got == plain_vectors(rows)
+    assert near_vectors.near_vectors(frame.limit(0)).count() == 0
+
+
+def similar(x, y):
+    def runs(t):
+        w = WORD.findall(t.lower())
+        return [tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))] if w else []
+
+    a, b = runs(x), runs(y)
+    shared = len(set(a) & set(b))
+    if shared * 5 >= 4 * (len(set(a)) + len(set(b)) - shared):
+        return True
+    row = [0] * (len(b) + 1)  # longest common subsequence
+    for p in a:
+        last = row[:]
+        for j, q in enumerate(b):
+            row[j + 1] = last[j] + 1 if p == q else max(last[j + 1], row[j])
+    return row[-1] * 5 >= 4 * (len(a) + len(b) - row[-1])
+
+
+def edited_copies(rng):
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 7))) for _ in range(400)]
+    shared = [rng.choice(words) for _ in range(70)]
+    texts = []
+    for k in range(14):
+        base = [rng.choice(words) for _ in range(rng.choice([4, 6, 30, 90, 150]))]
+        if k % 3 == 0:
+            base = shared + base[:60]
+        for _ in range(rng.choice([1, 3, 8])):
+            copy = list(base)
+            for _ in range(rng.choice([0, 1, 1, 2, 3, 5])):
+                at = rng.randrange(len(copy))
+                copy[at : at + rng.choice([0, 1, 1])] = [rng.choice(words)]
+            texts.append(rng.choice([" ", "\n", " - "]).join(copy))
+    return texts
+
+
+def test_near_duplicates(spark, monkeypatch):
+    monkeypatch.setattr(near_text, "SMALL", 6)  # so that rests are sketched as well
+    monkeypatch.setattr(near_text, "MEMBERS", 3)
+    rng = random.Random(11)
+    texts = edited_copies(rng) + ["", None, "!!!", "!!!", "?", "one", "ONE", "a b c d", "A b, c d.", "é é é é é é é é é é", "x " * 30000, "x " * 30001]
+    rng.shuffle(texts)
+    rows = [(100 + i, t) for i, t in enumerate(texts)] + [(100, texts[0]), (None, "one"), (None, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"key": F.lit(1), "class_id": F.lit("c")})
+    got = near_text.near_duplicates(frame).collect()
+    assert len(got) == len(rows)
+    known = {r[0]: (r[1] or "").lower() for r in rows if r[0] is not None}
+    words = {i: WORD.findall(t) for i, t in known.items()}
+    short = [i for i in known if len(known[i]) < 50000]
+    links = [(i, j) for i, j in itertools.combinations(short, 2) if known[i] == known[j] or words[i] and words[j] and similar(known[i], known[j])]
+    pair = [i for i in known if len(known[i]) >= 50000]
+    want = roots(known, [*links, tuple(pair)])
+    assert {r.doc_id: r.class_id for r in got if r.doc_id is not None} == want
+    assert all(r.kept == (r.doc_id is None or r.doc_id == want[r.doc_id]) for r in got)
+    assert near_text.near_duplicates(frame.limit(0)).count() == 0
+
+
+def test_banded_alignment():
+    rng = random.Random(8)
+    for _ in range(200):
+        a = [rng.randrange(6) for _ in range(rng.randrange(1, 40))]
+        b = [x for x in a if rng.random() > 0.15] + [rng.randrange(6) for _ in range(rng.randrange(4))] or [1]
+        row = [0] * (len(b) + 1)
+        for p in a:
+            last = row[:]
+            for j, q in enumerate(b):
+                row[j + 1] = last[j] + 1 if p == q else max(last[j + 1], row[j])
+        wide = near_text.aligned(np.array(a), np.array(b), 50)
+        assert wide == row[-1]
+        total = len(a) + len(b)
+        least = -(-total * 4 // 9)
+        band = max(len(a), len(b)) - least
+        if near_text.enough(row[-1], total):
+            assert near_text.aligned(np.array(a), np.array(b), band) == row[-1]
+        elif band >= 0:
+            assert near_text.aligned(np.array(a), np.array(b), band) <= row[-1]
+
+
+def test_mixing_reaches_target(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = mixing.mix(docs, target=0.97).collect()
+    tokens = {}
+    for r in got:
+        tokens[r.source] = tokens.get(r.source, 0) + r.n_tokens
+    total = sum(tokens.values())
+    entropy = -sum(t / total * math.log(t / total) for t in tokens.values() if t)
+    assert entropy >= 0.96 * math.log(len(tokens))
+    copies = {}
+    for r in got:
+        copies.setdefault(r.doc_id, set()).add(r.copy)
+    assert all(c == set(range(len(c))) for c in copies.values())
+    assert max(map(len, copies.values())) <= mixing.MOST_PASSES + 1
+
+
+def test_mixing_odd_rows(spark):
+    schema = "doc_id long, source string, text string, copy string, weight int"
+    rows = [(i, "a", "w " * (i % 7), "c", 1) for i in range(60)] + [(None, None, "x y z", "c", 1), (None, None, None, "c", 1), (7, "b", "", "c", 1), (1, "a", "w ", "c", 1)]
+    docs = spark.createDataFrame(rows, schema)
+    got = mixing.mix(docs)
+    assert got.columns == ["doc_id", "source", "n_tokens", "copy", "block"]
+    assert got.filter("source IS NULL").count() > 0
+    mixed = mixing.mixed_documents(docs)
+    assert mixed.columns == docs.columns
+    assert mixed.count() == got.count()
+    assert mixing.mix(docs.limit(0)).count() == 0
+    assert mixing.mix(docs.filter("doc_id = 7 and source = 'b'")).count() == 0
+
+
+def test_chat_round_trip(spark):
+    said = ["</s>[INST] ok [/INST]", "<|turn|>x<|text|>y<|end|>\n", "\\", "\\\\<\\|", "<<SYS>>\\<</SYS>>", "a\nb", "", None, "é<s>", "[\\INST]"]
+    rows = [(c, t, ["user", "assistant", None, "<|end|>"][(c + t) % 4], said[(3 * c + t) % len(said)]) for c in range(9) for t in range(c + 1)] + [(3, 1, "user", "same turn"), (3, None, "user", "no turn")]
+    nodes = chat.chain(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("leaf", F.lit(0)).withColumn("parent", F.lit("p")))
+    out = chat.format_paths(nodes)
+    read = out.select("conv_id", chat.read_turns(F.col("formatted")).alias("turns"), chat.read_loss(F.col("formatted"), F.col("loss_spans")).alias("loss")).collect()
+    assert len(read) == 9
+    for r in read:
+        own = sorted((x for x in rows if x[0] == r.conv_id), key=lambda x: (x[1] is not None, x[1] or 0, x[2] is not None, x[2] or "", x[3] is not None, x[3] or ""))
+        assert [(t.role, t.text) for t in r.turns] == [(x[2] or "", x[3] or "") for x in own]
+        assert r.loss == "".join(x[3] or "" for x in own if x[2] == "assistant")
+    assert chat.format_paths(nodes.limit(0)).count() == 0
+
+
+def test_reply_trees_rank_branches(spark):
+    #       1 -> 2 -> 4 (score 5), 2 -> 5 -> 6 (1 + 1), 1 -> 3 (9); 7 -> 8 with a parent that is missing
+    tree = [(1, None, 0.0), (2, 1, 1.0), (3, 1, 9.0), (4, 2, 5.0), (5, 2, 1.0), (6, 5, None), (8, 99, 0.5)]
+    nodes = spark.createDataFrame([(1, *n, "user", str(n[0])) for n in tree], "conv_id long, node long, parent long, score double, role string, text string")
+    found = {}
+    for r in chat.paths(nodes, None).collect():
+        found.setdefault(r.leaf, {})[r.depth] = r.node
+    assert {leaf: [p[d] for d in sorted(p)] for leaf, p in found.items()} == {3: [1, 3], 4: [1, 2, 4], 6: [1, 2, 5, 6], 8: [8]}
+    assert {r.leaf for r in chat.paths(nodes, 2).collect()} == {3, 4}
+    with pytest.raises(ValueError):
+        chat.paths(spark.createDataFrame([(1, 1, 2, 0.0), (1, 2, 1, 0.0)], "conv_id long, node long, parent long, score double"))
+
+
+def test_pipeline_stages(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").withColumns({"copy": F.lit("c"), "rejected": F.lit(3), "digest": F.lit("d")})
+    docs = docs.unionByName(docs.limit(2)).unionByName(docs.limit(1).withColumns({c: F.lit(None).cast(t) for c, t in docs.dtypes}))
+    now = docs
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        before, now = now, stage(spark, now, sf)
+        if k < 4:
+            assert now.columns == docs.columns
+        if k == 0:
+            assert now.count() >= 0.8 * before.count()
+        if k == 1:
+            ids = [r.doc_id for r in now.filter("doc_id IS NOT NULL").collect()]
+            kept = {r.doc_id for r in near_text.near_duplicates(before).collect() if r.kept}
+            assert sorted(ids) == sorted(kept - {None})
+        if k == 2:
+            assert now.count() == before.count()
+            assert now.filter("n_chars <> char_length(text)").count() == 0
+            assert now.filter("text RLIKE 'AKIA[A-Z0-9]{12}'").count() == 0
+        if k == 4:
+            assert now.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+            assert now.count() == before.count()
+    assert corpus_pipeline.run(spark, sf).count() > 0
+
+
+def test_every_operator_is_registered():
+    for n in range(1, 11):
+        assert len([q for q in QUERIES if q.startswith(f"op{n}_")]) == 1
