@@ -22,7 +22,7 @@ NEVER = 1 << 60
 #: Words with more parts than this go over a heap instead of repeated scans.
 SHORT_WORD = 128
 #: Encoded words a worker remembers before it starts anew.
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 #: Fixed value: the split pattern that ``COMMON_WORDS`` restates.
 SPLIT_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: The same words, for texts of code points below ``COMMON`` only, whose classes no Unicode version changes.
