@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.constants import EVAL_KS, MAX_FILE_BYTES, STRATEGIES
+from lodestar.constants import EVAL_KS, MAX_FILE_BYTES, MAX_FILES_PER_COMMIT, MAX_PACKAGE_SIZE, STRATEGIES
 from lodestar.operators import cochange, filegraph, fusion, locality, traverse, walk
 from lodestar.operators.ranking import comparable, top_ranked
 from lodestar.session import settle
@@ -75,7 +75,7 @@ def base_rankings(
         "dependents": walk.ppr_ranked(file_edges, anchors, limit, keys, backward_only=True),
         "graph-bfs": traverse.bfs_ranked(reached, limit, keys),
         "cochange": cochange.co_change_ranked(history, anchors, limit),
-        "packages": locality.package_mates(files, anchors, limit, keys),
+        "packages": locality.package_mates(files, anchors, limit, keys, MAX_PACKAGE_SIZE),
         "directory": locality.directory_ranked(files, anchors, limit, keys),
     }
     out = None
@@ -211,7 +211,7 @@ def evaluate(
     deepest = max(top, anchors.agg(F.max("n_targets")).first()[0] or 0)
     edges = settle(file_edges, "file_edges")
     reached = settle(traverse.reach(edges, anchors, keys), "reach")
-    history = cochange.build_co_change(commit_files, keys)
+    history = cochange.build_co_change(commit_files, keys, max_files=MAX_FILES_PER_COMMIT)
     base = base_rankings(edges, files, history, anchors, reached, deepest, keys)
     own_limit = anchors.select(*keys, "anchor", F.greatest(F.lit(top), "n_targets").alias("own_limit"))
     base = settle(

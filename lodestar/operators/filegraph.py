@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.constants import CONFIDENCE_FACTOR, MAX_PACKAGE_SIZE, PROPAGATION, lookup_sql
+from lodestar.constants import CONFIDENCE_FACTOR, PROPAGATION, lookup_sql
 from lodestar.functions.paths import dirname
 
 
@@ -59,7 +59,7 @@ def packages(files: DataFrame) -> DataFrame:
     return files.withColumn("package", F.when(F.col("lang") == "go", go).otherwise(directory))
 
 
-def small_packages(files: DataFrame, keys=(), max_size: int = MAX_PACKAGE_SIZE) -> DataFrame:
-    """Packages that are modules rather than buckets of unrelated files."""
+def small_packages(files: DataFrame, keys=(), max_size: int | None = None) -> DataFrame:
+    """Packages of at most ``max_size`` files, all by default, with their ``members``."""
     sizes = files.groupBy(*keys, "package").agg(F.count("*").alias("members"))
-    return sizes.filter(F.col("members") <= max_size)
+    return sizes if max_size is None else sizes.filter(F.col("members") <= max_size)

@@ -10,15 +10,17 @@ from lodestar.operators.filegraph import small_packages
 from lodestar.operators.ranking import locale_order
 
 
-def package_mates(files: DataFrame, anchors: DataFrame, limit: int, keys=()) -> DataFrame:
+def package_mates(files: DataFrame, anchors: DataFrame, limit: int, keys=(), max_size: int | None = None) -> DataFrame:
     """The first ``limit`` files of the anchor's package in listing order.
 
+    Packages of more than ``max_size`` files, if it is given, have no mates.
+
     Only the first ``limit + 1`` members of a package can appear in any answer, so each
     package is cut to those before it meets the anchors.
     ``files(keys, file, package, seq)``
     """
     keys = list(keys)
-    members = files.join(small_packages(files, keys), [*keys, "package"], "left_semi")
+    members = files.join(small_packages(files, keys, max_size), [*keys, "package"], "left_semi")
     listing = Window.partitionBy(*keys, "package").orderBy("seq")
     heads = (
         members.withColumn("_pos", F.row_number().over(listing))

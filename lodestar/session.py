@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents "
@@ -25,11 +27,14 @@ def register_tables(spark: SparkSession, sf_dir: str, names=TABLES) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, named by ``spark.checkpoint.dir``.
 
-    Only a session without the setting (a local test) gets a folder of its own.
+    Only a session in a single process, as in tests, gets a folder of its own if the
+    setting is missing: executors elsewhere would each write to their own disk.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
     own = tempfile.mkdtemp(prefix="lodestar-")
     spark.conf.set("spark.checkpoint.dir", own)
     return own
@@ -45,3 +50,24 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_dir(spark)}/lodestar/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+_STAGES: dict = {}
+
+
+def stage(name: str, sources: list[DataFrame], build):
+    """What ``build()`` returned for ``sources``, built once for each state of their files.
+
+    ``sources`` are tables as read; a file that was added, replaced or removed leads to a
+    new build, so a result is never older than the data it is made from.
+    """
+    spark = sources[0].sparkSession
+    files = F.xxhash64("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time")
+    state = [name, spark.sparkContext.applicationId]
+    for source in sources:
+        seen = source.select(files.alias("file")).distinct().agg(F.count("*"), F.sum(F.col("file").cast("decimal(38,0)")))
+        state += [*source.inputFiles()[:1], *seen.first()]
+    key = tuple(map(str, state))
+    if key not in _STAGES:
+        _STAGES[key] = build()
+    return _STAGES[key]

@@ -5,11 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-INSTANCE_SCHEMA = """
-org STRING, repo STRING, number STRING, base STRUCT<label: STRING, ref: STRING, sha: STRING>, title STRING, body STRING,
-resolved_issues ARRAY<STRUCT<number: BIGINT, title: STRING, body: STRING>>, fix_patch STRING, test_patch STRING,
-lang STRING, hints STRING, repo_url STRING, _bad STRING
-"""
+#: Fields of an instance and how each is read; one of another shape is read as null.
+FIELDS = {
+    "org": "string",
+    "repo": "string",
+    "number": "string",
+    "base": "struct<label:string,ref:string,sha:string>",
+    "title": "string",
+    "body": "string",
+    "resolved_issues": "array<struct<number:bigint,title:string,body:string>>",
+    "fix_patch": "string",
+    "test_patch": "string",
+    "lang": "string",
+    "hints": "string",
+    "repo_url": "string",
+}
 
 
 def instance_id() -> Column:
@@ -21,21 +31,15 @@ def repo_url(default_host: str) -> Column:
 
 
 def read_lines(spark: SparkSession, paths) -> DataFrame:
-    """Every non-blank line read against the fixed schema; other fields are never parsed.
-
-    ``_bad`` holds the text of a line that is not JSON.
-    """
-    return (
-        spark.read.schema(INSTANCE_SCHEMA)
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", "_bad")
-        .json(paths)
-    )
+    """Every non-blank line as a variant, null where it is not JSON."""
+    lines = spark.read.text(paths).filter(F.trim("value", F.lit(" \t\r")) != "")
+    return lines.select(F.try_parse_json("value").alias("record"))
 
 
 def load_dataset(spark: SparkSession, paths, langs=(), repos=(), ids=(), limit: int = 0) -> DataFrame:
     """Instances that match the filters; a record without org, repo or number fails the read."""
-    rows = read_lines(spark, paths).filter(F.col("_bad").isNull()).drop("_bad")
+    records = read_lines(spark, paths).filter(F.col("record").isNotNull())
+    rows = records.select(*(F.try_variant_get("record", f"$.{name}", kind).alias(name) for name, kind in FIELDS.items()))
     whole = (F.coalesce("org", F.lit("")) != "") & (F.coalesce("repo", F.lit("")) != "") & F.col("number").isNotNull()
     checked = F.when(whole, instance_id()).otherwise(F.raise_error(F.lit("instance is missing org/repo/number")))
     out = rows.withColumn("instance_id", checked)
@@ -50,9 +54,8 @@ def load_dataset(spark: SparkSession, paths, langs=(), repos=(), ids=(), limit:
 
 
 def count_malformed(spark: SparkSession, paths) -> DataFrame:
-    # the corrupt-record column alone cannot be queried, so a field is read with it
-    rows = read_lines(spark, paths)
-    return rows.agg(F.count_if(F.col("_bad").isNotNull() & (F.coalesce("org", F.lit("")) == "")).alias("malformed"))
+    """How many lines are not JSON. A record with a field of another type is none of them."""
+    return read_lines(spark, paths).agg(F.count_if(F.col("record").isNull()).alias("malformed"))
 
 
 def task_text() -> Column:
@@ -70,6 +73,7 @@ def task_text() -> Column:
         filled(F.col("title"), F.concat(F.lit("# "), "title")), filled(F.col("body"), F.col("body")), F.flatten(F.transform(issues, issue))
     )
     text = F.btrim(F.array_join(parts, "\n\n"), F.lit(" \t\n\r"))
+    # fixed value: the text of an instance that says nothing itself
     fallback = F.concat(F.lit("Resolve pull request "), instance_id(), F.lit(" in "), "org", F.lit("/"), "repo", F.lit("."))
     return F.when(text == "", fallback).otherwise(text)
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestar.operators import resolve
-from lodestar.session import register_tables, settle
+from lodestar.session import register_tables, settle, stage, table
 from lodestar.workloads.registry import workload
 
 # One text for both engines.
@@ -172,17 +172,15 @@ def facts_of(spark, sf_dir) -> resolve.Facts:
     return resolve.Facts(files, defs, view("refs"), imports, view("locals"), modules, None, ("repo",))
 
 
-_INDEXED: dict = {}
-
-
 def indexed(spark, sf_dir):
-    """Facts and graph of one data directory, resolved once per session and then queried."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _INDEXED:
+    """Facts and graph of the tables' present files, resolved once and then queried."""
+
+    def build():
         facts = facts_of(spark, sf_dir)
         g = resolve.resolve(facts)
-        _INDEXED[key] = facts, resolve.Graph(g.nodes, settle(g.edges, "edges"), g.files, settle(g.unresolved, "unresolved"), g.keys)
-    return _INDEXED[key]
+        return facts, resolve.Graph(g.nodes, settle(g.edges, "edges"), g.files, settle(g.unresolved, "unresolved"), g.keys)
+
+    return stage("graph", [table(spark, sf_dir, "part"), table(spark, sf_dir, "lineitem")], build)
 
 
 @workload("graph_nodes", f"WITH {RESOLVED} SELECT repo, id, kind, name, qualified, file, start_line, end_line, receiver, exported FROM sym "

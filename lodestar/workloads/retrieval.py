@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodestar.constants import CONFIDENCE_FACTOR, PROPAGATION, STRATEGIES, lookup_sql
+from lodestar.constants import CONFIDENCE_FACTOR, MAX_FILES_PER_COMMIT, MAX_PACKAGE_SIZE, PROPAGATION, STRATEGIES, lookup_sql
 from lodestar.operators import cochange, evaluate, filegraph, fusion, locality, traverse, walk
 from lodestar.session import register_tables, settle
 from lodestar.workloads.registry import workload
@@ -248,7 +248,7 @@ def directory_ranked(spark, sf_dir):
 )
 def package_mates(spark, sf_dir):
     r = anchored(spark, sf_dir)
-    return locality.package_mates(r["files"], r["anchors"], 5, ["repo"])
+    return locality.package_mates(r["files"], r["anchors"], 5, ["repo"], MAX_PACKAGE_SIZE)
 
 
 @workload(
@@ -261,7 +261,7 @@ def package_mates(spark, sf_dir):
 def related_files(spark, sf_dir):
     r = anchored(spark, sf_dir)
     graph = walk.ppr_ranked(r["file_edges"], r["anchors"], 5, ["repo"])
-    together = cochange.co_change_ranked(cochange.build_co_change(r["history"], ["repo"]), r["anchors"], 5)
+    together = cochange.co_change_ranked(cochange.build_co_change(r["history"], ["repo"], max_files=MAX_FILES_PER_COMMIT), r["anchors"], 5)
     columns = ["repo", "anchor", "file", "rank"]
     return fusion.fuse(graph.select(*columns).unionByName(together.select(*columns)), 5, ["repo"]).select(*columns)
 

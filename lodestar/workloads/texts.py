@@ -272,15 +272,25 @@ def tool_arguments(spark, sf_dir):
 
 
 def instance_lines(spark, sf_dir):
-    """Documents as JSON lines; every seventh line is cut off, as a broken download would be."""
+    """Documents as JSON lines; every seventh line is cut off, as a broken download would be.
+
+    Every third one writes its issue's number as text and its base as a bare name.
+    """
     docs = table(spark, sf_dir, "documents")
     parts = text.lines("text")
-    issue = F.array(F.struct(F.col("doc_id").alias("number"), F.col("source").alias("title"), F.try_element_at(parts, F.lit(2)).alias("body")))
-    record = F.to_json(
-        F.struct(
-            F.lit("org").alias("org"), F.col("source").alias("repo"), F.col("doc_id").alias("number"), F.try_element_at(parts, F.lit(1)).alias("title"),
-            issue.alias("resolved_issues"), F.col("lang"), F.col("text").alias("run_result"),
+    odd = F.col("doc_id") % 3 == 0
+
+    def record_of(number, base):
+        issue = F.array(F.struct(number.alias("number"), F.col("source").alias("title"), F.try_element_at(parts, F.lit(2)).alias("body")))
+        return F.to_json(
+            F.struct(
+                F.lit("org").alias("org"), F.col("source").alias("repo"), F.col("doc_id").alias("number"), base.alias("base"),
+                F.try_element_at(parts, F.lit(1)).alias("title"), issue.alias("resolved_issues"), F.col("lang"), F.col("text").alias("run_result"),
+            )
         )
+
+    record = F.when(odd, record_of(F.col("doc_id").cast("string"), F.lit("main"))).otherwise(
+        record_of(F.col("doc_id"), F.struct(F.lit("main").alias("ref")))
     )
     return docs.select(F.when(F.col("doc_id") % 7 == 0, F.left(record, F.length(record) - 5)).otherwise(record).alias("value"))
 
@@ -316,7 +326,7 @@ def dataset_malformed(spark, sf_dir):
 # -- verification scope ----------------------------------------------------------------
 
 SCOPE = f"""{IMPACT}, reached AS (SELECT repo, file AS change, file FROM files UNION
-  SELECT i.repo, i.change, n.file FROM ip i JOIN nd n ON n.repo = i.repo AND n.id = i.node WHERE i.rank <= 12)"""
+  SELECT i.repo, i.change, n.file FROM ip i JOIN nd n ON n.repo = i.repo AND n.id = i.node)"""
 
 
 @workload(
@@ -326,7 +336,7 @@ SCOPE = f"""{IMPACT}, reached AS (SELECT repo, file AS change, file FROM files U
 def compile_scope(spark, sf_dir):
     _, graph = indexed(spark, sf_dir)
     changed = _each_file(graph)
-    return verification.compile_scope(changed, navigate.impact(graph, changed), ["repo"])
+    return verification.compile_scope(changed, navigate.impact(graph, changed, None), ["repo"])
 
 
 @workload(

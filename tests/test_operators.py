@@ -2,6 +2,7 @@
 
 import json
 import os
+import random
 import subprocess
 
 import pytest
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from lodestar.functions import logs, patches, paths, text
 from lodestar.operators import cochange, evaluate, filegraph, fusion, fuzzy, ledger, locality, ordered, pricing, search, telemetry, traverse, walk
 from lodestar.plans.report import render_report, verdict
+from lodestar.session import stage
 from lodestar.sources import dataset, files as listing, history, runs, sinks
 
 
@@ -39,7 +41,7 @@ def test_pairs_are_weighted_by_commit_size(spark):
 
 def test_oversized_and_single_file_commits_do_not_count(spark):
     rows = [(1, f"f{i}") for i in range(401)] + [(2, "f0")] + [(3, "f0"), (3, "f1")]
-    index = cochange.build_co_change(spark.createDataFrame(rows, "commit_id BIGINT, file STRING"))
+    index = cochange.build_co_change(spark.createDataFrame(rows, "commit_id BIGINT, file STRING"), max_files=400)
     assert index.pairs.count() == 1
 
 
@@ -85,7 +87,7 @@ def test_breadth_first_stops_at_three_hops(spark):
 def test_package_mates(spark):
     rows = [(f"svc/{n}.go", "go", "svc", f"svc/{n}.go") for n in "abc"] + [(f"big/f{i:04}.go", "go", "big", f"big/f{i:04}.go") for i in range(300)]
     files = filegraph.packages(spark.createDataFrame(rows, "file STRING, lang STRING, pkg STRING, seq STRING"))
-    mates = locality.package_mates(files, anchor(spark, "svc/a.go", "big/f0001.go", "nope.go"), 5).collect()
+    mates = locality.package_mates(files, anchor(spark, "svc/a.go", "big/f0001.go", "nope.go"), 5, max_size=200).collect()
     assert [(r["anchor"], r["file"]) for r in sorted(mates, key=lambda r: r["rank"])] == [("svc/a.go", "svc/b.go"), ("svc/a.go", "svc/c.go")]
     assert locality.package_mates(files, anchor(spark, "svc/a.go"), 1).count() == 1
 
@@ -246,11 +248,11 @@ FULL = {"model_calls": 10, "tool_calls": 20, "unique_files_inspected": 8, "total
 @pytest.mark.parametrize(
     "base,cand,helped,reason",
     [
-        ((10, FULL), (10, {"model_calls": 6, "tool_calls": 11, "unique_files_inspected": 4, "total_tokens": 700}), True, "at equal or better correctness"),
-        ((10, FULL), (10, {"model_calls": 10, "tool_calls": 22, "unique_files_inspected": 9, "total_tokens": 1600}), False, "added work instead of replacing it"),
-        ((10, FULL), (0, {"model_calls": 2, "tool_calls": 4, "unique_files_inspected": 2, "total_tokens": 200}), False, "correctness dropped"),
-        ((10, FULL), (10, FULL), False, "did not pay for itself"),
-        ((0, FULL), (0, {"model_calls": 5, "tool_calls": 10, "unique_files_inspected": 4, "total_tokens": 500}), False, "correctness is unmeasured"),
+        ((10, FULL), (10, {"model_calls": 6, "tool_calls": 11, "unique_files_inspected": 4, "total_tokens": 700}), True, "and correctness held"),
+        ((10, FULL), (10, {"model_calls": 10, "tool_calls": 22, "unique_files_inspected": 9, "total_tokens": 1600}), False, "explores more, not less"),
+        ((10, FULL), (0, {"model_calls": 2, "tool_calls": 4, "unique_files_inspected": 2, "total_tokens": 200}), False, "points lower"),
+        ((10, FULL), (10, FULL), False, "no material difference"),
+        ((0, FULL), (0, {"model_calls": 5, "tool_calls": 10, "unique_files_inspected": 4, "total_tokens": 500}), False, "nothing is known about correctness"),
     ],
 )
 def test_verdicts(spark, base, cand, helped, reason):
@@ -356,6 +358,12 @@ def test_dataset(spark, tmp_path):
     (tmp_path / "bad.jsonl").write_text('{"org": "o", "number": 3}\n')
     with pytest.raises(Exception, match="missing org/repo/number"):
         dataset.load_dataset(spark, str(tmp_path / "bad.jsonl")).collect()
+    odd = [{"org": "o", "repo": "r", "number": 5, "resolved_issues": [{"number": "12", "title": "I"}]}, {"org": "o", "repo": "r", "number": 6, "base": "main", "title": ["no text"]}]
+    (tmp_path / "odd.jsonl").write_text("\n".join(map(json.dumps, odd)) + "\nnot json\n")
+    shaped = {r["instance_id"]: r for r in dataset.load_dataset(spark, str(tmp_path / "odd.jsonl")).collect()}
+    assert shaped["o__r-5"]["resolved_issues"][0]["number"] == 12
+    assert shaped["o__r-6"]["base"] is None
+    assert dataset.count_malformed(spark, str(tmp_path / "odd.jsonl")).first()["malformed"] == 1
     done = spark.createDataFrame([("o__r-1",)], "instance_id STRING")
     assert [r["instance_id"] for r in dataset.remaining(dataset.load_dataset(spark, str(path)), done).collect()] == ["o__q-2"]
 
@@ -408,3 +416,38 @@ def test_sinks(spark, tmp_path):
     (tmp_path / "c.jsonl").write_text('{"hash": "h", "response": {"text": "hi"}}\n')
     tape = runs.read_cassettes(spark, str(tmp_path / "c.jsonl")).select("hash", F.to_json("response").alias("r")).first()
     assert (tape["hash"], json.loads(tape["r"])) == ("h", {"text": "hi"})
+
+
+# -- limits that are asked for, and stages ---------------------------------------------------
+
+
+def test_large_commits_are_kept_unless_asked(spark):
+    rows = [(1, f"f{i}") for i in range(5)] + [(2, "f0"), (2, "f1"), (3, "f9")]
+    touched = spark.createDataFrame(rows, "commit_id LONG, file STRING")
+    assert cochange.build_co_change(touched).touches.count() == 7
+    assert cochange.build_co_change(touched, max_files=4).touches.count() == 2
+    assert [tuple(r) for r in cochange.oversized(touched, 4).collect()] == [(1, 5)]
+
+
+def test_anchor_scores_are_those_of_all_pairs(spark):
+    rng = random.Random(3)
+    rows = [(c % 3, c, f"f{rng.randrange(9)}") for c in range(60) for _ in range(4)]
+    index = cochange.build_co_change(spark.createDataFrame(rows, "repo INT, commit_id LONG, file STRING"), ["repo"])
+    anchors = spark.createDataFrame([(0, "f1"), (2, "f3"), (2, "f8"), (1, "absent")], "repo INT, anchor STRING")
+    every = cochange.co_change_scores(index).join(anchors, ["repo", "anchor"], "left_semi").collect()
+    got = {(r["repo"], r["anchor"], r["file"]): round(r["score"], 9) for r in cochange.anchor_scores(index, anchors).collect()}
+    assert got == {(r["repo"], r["anchor"], r["file"]): round(r["score"], 9) for r in every} != {}
+
+
+def test_stage_follows_its_files(spark, tmp_path):
+    path = str(tmp_path / "t.parquet")
+    spark.range(3).write.parquet(path)
+    built = []
+
+    def build():
+        built.append(1)
+        return spark.read.parquet(path).count()
+
+    assert stage("t", [spark.read.parquet(path)], build) == stage("t", [spark.read.parquet(path)], build) == 3
+    spark.range(2).write.mode("append").parquet(path)
+    assert stage("t", [spark.read.parquet(path)], build) == 5 and len(built) == 2
