@@ -31,7 +31,6 @@ KIND_PRIORITY = {
 # Limits and budgets.
 MAX_AMBIGUOUS_FANOUT = 3
 MAX_FILE_BYTES = 1_500_000
-MAX_COMMITS = 3000
 MAX_FILES_PER_COMMIT = 400
 MAX_PACKAGE_SIZE = 200
 PPR_RESTART = 0.15
