@@ -28,20 +28,22 @@ def small_star(links: DataFrame) -> DataFrame:
     return moved.unionByName(least.select(F.col("node").alias("u"), F.col("low").alias("v"))).distinct()
 
 
+def is_forest_of_stars(links: DataFrame) -> bool:
+    """Whether every node has one link down and nothing but leaves links to a centre."""
+    ends = links.select(F.col("u").alias("node"), F.lit(1).alias("down")).unionByName(links.select(F.col("v").alias("node"), F.lit(0).alias("down")))
+    nodes = ends.groupBy("node").agg(F.sum("down").alias("down"), F.min("down").alias("least"))
+    return nodes.filter("down > 1 OR down = 1 AND least = 0").isEmpty()
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, component) for every node of ``links`` (a, b): the least node it can reach.
 
-    Rounds repeat until nothing changes, about log2 of the longest chain; each is written to
-    the shared folder. Minima are combined before they are shuffled, so no node's
+    Rounds repeat until only stars are left, about log2 of the longest chain; each is written
+    to the shared folder. Minima are combined before they are shuffled, so no node's
     neighbours are gathered. No links give no rows; a link to itself says nothing.
     """
     links = settle(downward(links), "links")
-    before = None
-    while True:
-        now = tuple(links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == before or now[0] == 0:
-            return links.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
-                links.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-            )
-        before = now
+    while not is_forest_of_stars(links):
         links = settle(small_star(large_star(links)), "links")
+    centres = links.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+    return links.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(centres)
