@@ -44,6 +44,7 @@ def main() -> None:
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    from lodestar.session import clear
     from lodestar.workloads import QUERIES
 
     names = sys.argv[1:] or HEADLINE
@@ -54,6 +55,7 @@ def main() -> None:
         QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         timings[name] = round(time.perf_counter() - started, 3)
         print(f"{name} {timings[name]}", file=sys.stderr, flush=True)
+    clear(spark)
     print(
         json.dumps(
             {

@@ -40,6 +40,21 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+def run_dir(spark: SparkSession) -> str:
+    """The part of the shared folder that this application writes to."""
+    return f"{shared_dir(spark)}/lodestar/{spark.sparkContext.applicationId}"
+
+
+def clear(spark: SparkSession) -> bool:
+    """Delete what this application has written to the shared folder, once its results are stored.
+
+    Frames that were made before can no longer be read. False if there was nothing.
+    """
+    _STAGES.clear()
+    path = spark._jvm.org.apache.hadoop.fs.Path(run_dir(spark))
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def settle(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder once and continue from the written table.
 
@@ -47,7 +62,7 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     true sizes for the joins that follow.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lodestar/{label}-{uuid.uuid4().hex}"
+    path = f"{run_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.session import shared_dir
+from lodestar.session import run_dir
 
 TOUCH_SCHEMA = "run_id STRING, path STRING, seq BIGINT, turn INT, action STRING, source STRING, hash STRING"
 OUTPUT_SCHEMA = (
@@ -52,7 +52,7 @@ def run_to_files(stream: DataFrame, label: str) -> str:
     """Process what is available into Parquet files in the shared folder; their path."""
     import uuid
 
-    base = f"{shared_dir(stream.sparkSession)}/lodestar/{label}-{uuid.uuid4().hex}"
+    base = f"{run_dir(stream.sparkSession)}/{label}-{uuid.uuid4().hex}"
     query = (
         stream.writeStream.format("parquet").option("path", f"{base}/rows").option("checkpointLocation", f"{base}/state")
         .outputMode("append").trigger(availableNow=True).start()

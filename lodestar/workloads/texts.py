@@ -10,7 +10,7 @@ from lodestar.functions import logs, patches, paths, text
 from lodestar.operators import search
 from lodestar.plans import verification
 from lodestar.operators import navigate
-from lodestar.session import shared_dir, table
+from lodestar.session import run_dir, table
 from lodestar.sources import dataset
 from lodestar.workloads.codebase import indexed
 from lodestar.workloads.navigation import IMPACT, GRAMS, _each_file
@@ -307,7 +307,7 @@ INSTANCES = """i AS (SELECT doc_id, source, lang, string_split(text, chr(10)) AS
     FROM i WHERE lang IN ('en', 'fr')""",
 )
 def dataset_instances(spark, sf_dir):
-    path = f"{shared_dir(spark)}/lodestar/instances-{uuid.uuid4().hex}"
+    path = f"{run_dir(spark)}/instances-{uuid.uuid4().hex}"
     instance_lines(spark, sf_dir).write.text(path)
     rows = dataset.load_dataset(spark, path, langs=["en", "fr"])
     return rows.select(
@@ -318,7 +318,7 @@ def dataset_instances(spark, sf_dir):
 
 @workload("dataset_malformed", "SELECT count(*) AS malformed FROM documents WHERE doc_id % 7 = 0")
 def dataset_malformed(spark, sf_dir):
-    path = f"{shared_dir(spark)}/lodestar/instances-{uuid.uuid4().hex}"
+    path = f"{run_dir(spark)}/instances-{uuid.uuid4().hex}"
     instance_lines(spark, sf_dir).write.text(path)
     return dataset.count_malformed(spark, path)
 

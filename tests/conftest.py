@@ -7,6 +7,8 @@ from pyspark.sql import SparkSession
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
+from lodestar.session import clear  # noqa: E402
+
 
 def make_session():
     spark = (
@@ -27,4 +29,6 @@ def make_session():
 
 @pytest.fixture(scope="session")
 def spark():
-    return make_session()
+    session = make_session()
+    yield session
+    clear(session)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lodestar.functions import logs, patches, paths, text
 from lodestar.operators import cochange, evaluate, filegraph, fusion, fuzzy, ledger, locality, ordered, pricing, search, telemetry, traverse, walk
 from lodestar.plans.report import render_report, verdict
-from lodestar.session import stage
+from lodestar.session import clear, settle, stage
 from lodestar.sources import dataset, files as listing, history, runs, sinks
 
 
@@ -451,3 +451,10 @@ def test_stage_follows_its_files(spark, tmp_path):
     assert stage("t", [spark.read.parquet(path)], build) == stage("t", [spark.read.parquet(path)], build) == 3
     spark.range(2).write.mode("append").parquet(path)
     assert stage("t", [spark.read.parquet(path)], build) == 5 and len(built) == 2
+
+
+def test_clear_takes_what_was_settled(spark):
+    other = spark.newSession()  # the same application
+    kept = settle(spark.range(4), "kept")
+    assert kept.count() == 4 and all("/lodestar/" in f and spark.sparkContext.applicationId in f for f in kept.inputFiles())
+    assert clear(other) and not clear(other)
