@@ -165,11 +165,11 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
                 at.append([i for i, _ in own]), counts.append([c for _, c in own])
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(at, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32()))], names=["toxic", "at", "counts"])
 
-    drawn = sample.mapInArrow(run, "toxic int, at array<int>, counts array<int>")
-    drawn = drawn.orderBy("toxic", "at", "counts").toArrow().to_pydict()  # a few numbers for each of the sample
-    toxic = np.array(drawn["toxic"])
-    rows = np.repeat(np.arange(len(toxic)), [len(a) for a in drawn["at"]])
-    columns, counts = (np.array([x for row in drawn[name] for x in row], int) for name in ("at", "counts"))
+    drawn = sample.mapInArrow(run, "toxic int, at array<int>, counts array<int>").toArrow()  # a few numbers for each of the sample
+    ordered = sorted(zip(*(drawn.column(c).to_pylist() for c in ("toxic", "at", "counts")), strict=True))  # so that sums come out alike
+    toxic, at, counts = np.array([r[0] for r in ordered]), [r[1] for r in ordered], [r[2] for r in ordered]
+    rows = np.repeat(np.arange(len(toxic)), [len(a) for a in at])
+    columns, counts = (np.array([x for row in lists for x in row], int) for lists in (at, counts))
     values = 1 + np.log(counts)
     marks = np.bincount(rows, weights=values * np.isin(columns, sorted(toxic_only)), minlength=len(toxic))
     edges = np.quantile(marks[toxic == 1], np.arange(1, GRADES) / GRADES)
