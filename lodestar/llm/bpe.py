@@ -22,7 +22,7 @@ NEVER = 1 << 60
 #: Words with more parts than this go over a heap instead of repeated scans.
 SHORT_WORD = 128
 #: Encoded words a worker remembers before it starts anew.
-REMEMBERED = 150_000
+REMEMBERED = 100_000
 #: Fixed value: the split pattern that ``COMMON_WORDS`` restates.
 SPLIT_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: The same words, for texts of code points below ``COMMON`` only, whose classes no Unicode version changes.
@@ -61,8 +61,7 @@ class WordBpe:
         self.bytes = {letter: b for b, letter in letters.items()}
         splits = [p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"]
         self.common = splits == [SPLIT_PATTERN]
-        library = Tokenizer.from_file(path)
-        self.normalizer, self.splitter = library.normalizer, library.pre_tokenizer
+        self.path, self.library = path, None
         self.added = added
         self.added_pattern = re.compile("|".join(re.escape(x) for x in sorted(added, key=len, reverse=True))) if added else None
         self.known: dict[str, tuple[str, str, int]] = {}
@@ -118,7 +117,9 @@ class WordBpe:
             # a sigma is lower-cased by itself, whether or not it ends a word
             text = text.replace("Σ", "σ").lower()
             return COMMON_WORDS.findall(text)
-        found = self.splitter.pre_tokenize_str(self.normalizer.normalize_str(text))
+        if self.library is None:  # many corpora never need it
+            self.library = Tokenizer.from_file(self.path)
+        found = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
         return [bytes(self.bytes[c] for c in word).decode() for word, _ in found]
 
     def parts(self, text: str) -> Iterator[tuple[bool, str]]:

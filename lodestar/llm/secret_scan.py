@@ -13,7 +13,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import texts_of
+from lodestar.llm.common import pieces, texts_of
 
 #: Kinds in the order in which spans that start together are listed.
 KINDS = ("assign", "access", "hex", "token")
@@ -133,9 +133,13 @@ def mask(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     def run(batches):
         vocabulary = encoding(path, pattern)
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            texts = [t if t is None or not (spans := spans_of(t, vocabulary)[1]) else masked(t, spans) for t in texts]
             at = batch.schema.get_field_index("text")
-            yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
+            for part in pieces(batch):
+                texts = part.column("text").to_pylist()
+                spans = [spans_of(t, vocabulary)[1] if t else [] for t in texts]
+                if any(spans):
+                    texts = [masked(t, s) if s else t for t, s in zip(texts, spans, strict=True)]
+                    part = part.set_column(at, part.schema.field(at), pa.array(texts, part.schema.field(at).type))
+                yield part
 
     return docs.mapInArrow(run, docs.schema)

@@ -209,7 +209,8 @@ def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            chance = model.severities(np.array([model.score(t.as_py()) for t in texts_of(batch.column("text"))], np.float64))
-            yield batch.filter(pa.array(chance[:, 0].round(6) < REJECT))
+            for part in pieces(batch):
+                chance = model.severities(np.array([model.score(t.as_py()) for t in texts_of(part.column("text"))], np.float64))
+                yield part.filter(pa.array(chance[:, 0].round(6) < REJECT))
 
     return docs.mapInArrow(run, docs.schema)
