@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lodestar.llm.common import texts_of
+from lodestar.llm.common import batched, texts_of
 
 #: No merge joins the two parts.
 NEVER = 1 << 60
@@ -187,7 +187,7 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text", out: str =
 
     kept = docs.select(*(c for c in docs.columns if c != out))
     schema = kept.withColumn(out, F.lit(None).cast("array<int>")).schema
-    return kept.mapInArrow(run, schema)
+    return batched(kept).mapInArrow(run, schema)
 
 
 def decode_documents(encoded: DataFrame, path: str, ids: str = "token_ids", out: str = "decoded") -> DataFrame:
@@ -201,7 +201,7 @@ def decode_documents(encoded: DataFrame, path: str, ids: str = "token_ids", out:
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(texts, pa.string())], names=[*kept, out])
 
     kept = encoded.select(*(c for c in encoded.columns if c != out))
-    return kept.mapInArrow(run, kept.withColumn(out, F.lit(None).cast("string")).schema)
+    return batched(kept).mapInArrow(run, kept.withColumn(out, F.lit(None).cast("string")).schema)
 
 
 def encoding_digests(docs: DataFrame, path: str) -> DataFrame:
@@ -223,4 +223,4 @@ def encoding_digests(docs: DataFrame, path: str) -> DataFrame:
             )
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+    return batched(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)

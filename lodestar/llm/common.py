@@ -7,11 +7,28 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
+#: Rows of texts that go to a Python worker at once.
+BATCH_ROWS = 1000
+BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: Text bytes that a vectorised step holds at once; a longer single text is held whole.
 PIECE_BYTES = 1 << 20
 
 
+def batched(docs: DataFrame) -> DataFrame:
+    """``docs``, in a session whose Arrow batches hold ``BATCH_ROWS`` rows at most.
+
+    A batch is held by the JVM and by the worker at the same time, and ten thousand long
+    texts, the usual bound, need more memory than executors leave beside their heap. A
+    smaller bound that the session has stays.
+    """
+    conf = docs.sparkSession.conf
+    if not 0 < int(conf.get(BATCH_SETTING)) <= BATCH_ROWS:
+        conf.set(BATCH_SETTING, str(BATCH_ROWS))
+    return docs
+
+
 def texts_of(column: pa.Array | pa.ChunkedArray) -> pa.Array:
     """The column as one array of large strings, null as the empty text."""
     if isinstance(column, pa.ChunkedArray):

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodestar.llm.common import buffers_of, mixed, stream, texts_of
+from lodestar.llm.common import batched, buffers_of, mixed, stream, texts_of
 from lodestar.session import settle
 
 #: Bytes of a feature.
@@ -200,7 +200,7 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     than a window is one feature; repeated rows give repeated results; other columns are not
     read. A single document is its own next.
     """
-    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    given = batched(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
 
     def run(batches):
         part, ids, texts, first = TaskContext.get().partitionId(), [], [], True

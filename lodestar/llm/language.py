@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import LOWER, buffers_of, mixed, pieces, texts_of
+from lodestar.llm.common import LOWER, batched, buffers_of, mixed, pieces, texts_of
 
 #: Cells of the hashed n-gram space.
 CELLS = 1 << 16
@@ -169,5 +169,5 @@ def identify(docs: DataFrame) -> DataFrame:
     A null doc_id is not held out.
     """
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
-    marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", held.alias("held_out"))
+    marked = batched(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", held.alias("held_out"))
     return predict(marked, fit(marked.filter(~F.col("held_out"))))

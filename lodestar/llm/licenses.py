@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import Words, pieces, texts_of, words_of
+from lodestar.llm.common import Words, batched, pieces, texts_of, words_of
 
 #: Phrases whose words may stand anywhere in a text, and the label each gives.
 BASE = {
@@ -256,7 +256,7 @@ def scan(docs: DataFrame) -> DataFrame:
         "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, "
         "score double, detections array<struct<start:long,end:long,label:string,priority:long>>"
     )
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+    return batched(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
 
 
 SPAN = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("label", pa.string()), ("priority", pa.int64())])

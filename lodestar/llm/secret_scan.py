@@ -13,7 +13,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import pieces, texts_of
+from lodestar.llm.common import batched, pieces, texts_of
 
 #: Kinds in the order in which spans that start together are listed.
 KINDS = ("assign", "access", "hex", "token")
@@ -124,7 +124,7 @@ def scan(docs: DataFrame, path: str, pattern: str) -> DataFrame:
             )
 
     schema = "doc_id long, n_assign long, n_access long, n_hex long, n_token long, base_sha256 string, spans string"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+    return batched(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
 
 
 def mask(docs: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -142,4 +142,4 @@ def mask(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                     part = part.set_column(at, part.schema.field(at), pa.array(texts, part.schema.field(at).type))
                 yield part
 
-    return docs.mapInArrow(run, docs.schema)
+    return batched(docs).mapInArrow(run, docs.schema)

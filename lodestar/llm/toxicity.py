@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import pieces, texts_of, words_of
+from lodestar.llm.common import batched, pieces, texts_of, words_of
 from lodestar.llm.near_text import SEEDS, shingles, signed, sketches
 from lodestar.session import settle
 
@@ -199,13 +199,13 @@ def grade(docs: DataFrame, labels: DataFrame) -> DataFrame:
     value, and labels of documents that are not there, say nothing; rows stand for themselves,
     so repeated ones give repeated results; columns other than doc_id, text and toxic are not read.
     """
-    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    given = batched(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return graded(given, fit(given, labels), ["doc_id"])
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are not rejected, with the columns they had."""
-    model = fit(docs, labels)
+    model = fit(batched(docs), labels)
 
     def run(batches):
         for batch in batches:
@@ -213,4 +213,4 @@ def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
                 chance = model.severities(np.array([model.score(t.as_py()) for t in texts_of(part.column("text"))], np.float64))
                 yield part.filter(pa.array(chance[:, 0].round(6) < REJECT))
 
-    return docs.mapInArrow(run, docs.schema)
+    return batched(docs).mapInArrow(run, docs.schema)
