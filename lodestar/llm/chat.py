@@ -15,6 +15,11 @@ CONTROLS = ("<|", "<s>", "</s>", "<<SYS>>", "<</SYS>>", "[INST]", "[/INST]")
 BREAK = "\n"
 
 
+def tree() -> Column:
+    """The conversation as a key that is never null: a record that may hold a null."""
+    return F.struct("conv_id").alias("conv_id")
+
+
 def escaped(text: Column) -> Column:
     """``text`` without any control string; a backslash is doubled first, so nothing is lost."""
     text = F.replace(text, F.lit("\\"), F.lit("\\\\"))
@@ -44,10 +49,10 @@ def paths(nodes: DataFrame, branches: int | None = 1) -> DataFrame:
 
     Each round joins the table of ancestors with itself and so doubles how far it reaches;
     the rounds end when no row has anything above it. A path's score is the sum over its
-    nodes; ties go to the smaller leaf. ``branches=None`` keeps every path. A node whose
+    nodes; ties go to the smaller leaf. Rows without a conv_id are one conversation. ``branches=None`` keeps every path. A node whose
     parent is missing is a root. Each round's table is written to the shared folder.
     """
-    keys = nodes.select("conv_id", "node", "parent", F.coalesce("score", F.lit(0.0)).alias("score"))
+    keys = nodes.select(tree(), "node", "parent", F.coalesce("score", F.lit(0.0)).alias("score"))
     present = keys.select("conv_id", F.col("node").alias("parent"), F.lit(True).alias("present"))
     jump = keys.join(present, ["conv_id", "parent"], "left").select(
         "conv_id", "node", F.when(F.col("present"), F.col("parent")).alias("up"), F.col("score").alias("sum"), F.lit(1).cast("long").alias("length")
@@ -76,7 +81,7 @@ def paths(nodes: DataFrame, branches: int | None = 1) -> DataFrame:
     for k, jump in enumerate(jumps[:-1]):
         above = found.join(jump.select("conv_id", "node", "up"), ["conv_id", "node"]).select("conv_id", "leaf", F.col("up").alias("node"), (F.col("depth") - (1 << k)).alias("depth"))
         found = settle(found.unionByName(above), "chat-paths")  # read twice by the next round
-    return found
+    return found.select("conv_id.conv_id", "leaf", "node", "depth")
 
 
 def format_paths(nodes: DataFrame, branches: int | None = 1) -> DataFrame:
@@ -85,7 +90,7 @@ def format_paths(nodes: DataFrame, branches: int | None = 1) -> DataFrame:
     Null texts and roles are formatted as empty. The spans cover the escaped texts of the
     assistant's turns. One conversation becomes one text, so a path has to fit into a row.
     """
-    chosen = paths(nodes, branches).join(nodes.select("conv_id", "node", "role", "text"), ["conv_id", "node"])
+    chosen = paths(nodes, branches).select(tree(), "leaf", "node", "depth").join(nodes.select(tree(), "node", "role", "text"), ["conv_id", "node"])
     role, body = escaped(F.coalesce("role", F.lit(""))), escaped(F.coalesce("text", F.lit("")))
     head = F.concat(F.lit(TURN), role, F.lit(BODY))
     pieces = chosen.select(
@@ -102,7 +107,7 @@ def format_paths(nodes: DataFrame, branches: int | None = 1) -> DataFrame:
     placed = pieces.select("conv_id", "leaf", "depth", "piece", "counts", start.alias("start"), (start + F.col("body")).alias("end"))
     turns = placed.groupBy("conv_id", "leaf").agg(F.sort_array(F.collect_list(F.struct("depth", "piece", "counts", "start", "end"))).alias("turns"))
     return turns.select(
-        "conv_id",
+        "conv_id.conv_id",
         "leaf",
         F.array_join(F.transform("turns", lambda t: t["piece"]), "").alias("formatted"),
         F.transform(F.filter("turns", lambda t: t["counts"]), lambda t: F.struct(t["start"], t["end"])).alias("loss_spans"),

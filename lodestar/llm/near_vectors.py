@@ -173,7 +173,8 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     """vec_id, n_links, component_id and kept for every row of ``vectors`` (vec_id, embedding, label).
 
     Two rows are linked if their labels are equal and not null and their cosine, in doubles,
-    is at least ``cosine`` (above 0). Null, zero and non-finite vectors link with nothing.
+    is at least ``cosine`` (above 0). Null, zero and non-finite vectors, and rows without a vec_id,
+    link with nothing.
     Rows of one label and unit vector are joined as one, with their number. Vectors of
     different lengths are never linked. Rows that share a vec_id count as one
     vector with the links of all of them. An empty table gives no rows; other columns are not read.

@@ -175,11 +175,11 @@ def test_mixing_odd_rows(spark):
 
 def test_chat_round_trip(spark):
     said = ["</s>[INST] ok [/INST]", "<|turn|>x<|text|>y<|end|>\n", "\\", "\\\\<\\|", "<<SYS>>\\<</SYS>>", "a\nb", "", None, "é<s>", "[\\INST]"]
-    rows = [(c, t, ["user", "assistant", None, "<|end|>"][(c + t) % 4], said[(3 * c + t) % len(said)]) for c in range(9) for t in range(c + 1)] + [(3, 1, "user", "same turn"), (3, None, "user", "no turn")]
+    rows = [(c, t, ["user", "assistant", None, "<|end|>"][(c + t) % 4], said[(3 * c + t) % len(said)]) for c in range(9) for t in range(c + 1)] + [(3, 1, "user", "same turn"), (3, None, "user", "no turn"), (None, 0, "user", "no id"), (None, 1, "assistant", "none")]
     nodes = chat.chain(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("leaf", F.lit(0)).withColumn("parent", F.lit("p")))
     out = chat.format_paths(nodes)
     read = out.select("conv_id", chat.read_turns(F.col("formatted")).alias("turns"), chat.read_loss(F.col("formatted"), F.col("loss_spans")).alias("loss")).collect()
-    assert len(read) == 9
+    assert len(read) == 10
     for r in read:
         own = sorted((x for x in rows if x[0] == r.conv_id), key=lambda x: (x[1] is not None, x[1] or 0, x[2] is not None, x[2] or "", x[3] is not None, x[3] or ""))
         assert [(t.role, t.text) for t in r.turns] == [(x[2] or "", x[3] or "") for x in own]
