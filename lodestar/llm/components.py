@@ -18,7 +18,7 @@ def large_star(links: DataFrame) -> DataFrame:
     """Every node's larger neighbours are linked to the least of the node and its neighbours."""
     both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.first("u")).alias("low"))
-    return links.join(least, links.v == least.node).select("u", F.col("low").alias("v")).distinct()
+    return links.join(least, links.v == least.node).select("u", F.col("low").alias("v"))
 
 
 def small_star(links: DataFrame) -> DataFrame:
