@@ -42,7 +42,7 @@ def components(links: DataFrame) -> DataFrame:
     to the shared folder. Minima are combined before they are shuffled, so no node's
     neighbours are gathered. No links give no rows; a link to itself says nothing.
     """
-    links = settle(downward(links), "links")
+    links = settle(small_star(large_star(settle(downward(links), "links"))), "links")
     while not is_forest_of_stars(links):
         links = settle(small_star(large_star(links)), "links")
     centres = links.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()

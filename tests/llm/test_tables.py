@@ -102,8 +102,7 @@ def edited_copies(rng):
 
 
 def test_near_duplicates(spark, monkeypatch):
-    monkeypatch.setattr(near_text, "SMALL", 6)  # so that rests are sketched as well
-    monkeypatch.setattr(near_text, "SMALL_RESTS", 8)
+    monkeypatch.setattr(near_text, "SMALL", (6, 6, 8))  # so that rests are sketched as well
     monkeypatch.setattr(near_text, "SHARES", 3)
     rng = random.Random(11)
     texts = edited_copies(rng) + ["", None, "!!!", "!!!", "?", "one", "ONE", "a b c d", "A b, c d.", "é é é é é é é é é é", "x " * 30000, "x " * 30001]
