@@ -29,9 +29,15 @@ LEAST_PER_TOKEN = 2.2
 DIGEST_LENGTHS = {32, 40, 56, 64, 96, 128}
 DIGEST = re.compile(r"[0-9a-fA-F]+")
 UUID = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
-#: Words of an identifier, as capitals and marks part them, and their least mean length.
-PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
-LEAST_PART = 3
+#: Words of an identifier, as capitals and marks part them. One counts as written by somebody if
+#: it has ``LEAST_WORD`` letters and one token, or is long and its tokens are; an identifier is a
+#: string with ``LEAST_WRITTEN`` of its letters in such words.
+PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+LEAST_WORD, LEAST_WRITTEN = 3, 0.4
+#: (letters, letters per token) from which a word of several tokens counts.
+LONG_WORDS = ((6, 3), (12, 2.1))
+#: A string of so few different characters is a pattern or a sequence, no key.
+MOST_REPEATED = 5
 MASK = "[SECRET]"
 
 
@@ -63,17 +69,31 @@ def ordered(spans: list[Span]) -> list[Span]:
     return sorted(spans, key=lambda s: (s.start, KINDS.index(s.kind)))
 
 
+def is_written(word: str, vocabulary: tiktoken.Encoding) -> bool:
+    """Whether ``word`` is one of the vocabulary, in any case, or a long one of few tokens."""
+    if not LEAST_WORD <= len(word) <= 4096:
+        return False
+    tokens = min(len(vocabulary.encode_ordinary(space + w)) for w in {word, word.lower()} for space in ("", " "))
+    return tokens == 1 or any(len(word) >= n and len(word) >= each * tokens for n, each in LONG_WORDS)
+
+
 def is_random(run: str, vocabulary: tiktoken.Encoding) -> bool:
-    """Whether the vocabulary needs so many tokens that nobody would have written ``run``."""
+    """Whether the vocabulary needs so many tokens that nobody would have written ``run``.
+
+    Digests, UUIDs, numbers, repetitions and strings that words make up are not random; no
+    mixture of letters and digits alone keeps a string out.
+    """
     core = run.strip("=+/_-")
     if UUID.fullmatch(core) or DIGEST.fullmatch(core) and len(core) in DIGEST_LENGTHS:
         return False
-    parts = PART.findall(core)
-    if not parts or not re.search(r"\d", core) or sum(map(len, parts)) >= LEAST_PART * len(parts):
-        return False  # words, numbers or a name
     # in stretches, so that a text of one endless run costs no more than its length
     tokens = sum(len(vocabulary.encode_ordinary(run[i : i + 4096])) for i in range(0, len(run), 4096))
-    return len(run) < LEAST_PER_TOKEN * tokens
+    if len(run) >= LEAST_PER_TOKEN * tokens:
+        return False
+    parts = PART.findall(core)
+    if not parts or len(set(core.lower())) <= MOST_REPEATED:
+        return False
+    return sum(len(p) for p in parts if is_written(p, vocabulary)) < LEAST_WRITTEN * sum(map(len, parts))
 
 
 def spans_of(text: str, vocabulary: tiktoken.Encoding) -> tuple[list[Span], list[Span]]:

@@ -156,6 +156,25 @@ def test_random_strings_are_secrets():
         assert not secret_scan.is_random(known, vocabulary)
 
 
+@pytest.mark.parametrize(
+    "letters",
+    ["ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"],
+)
+def test_random_strings_of_any_letters_are_secrets(letters):
+    vocabulary = secret_scan.encoding(BYTE_RANKS, public_tokenizers.PATTERN)
+    rng = random.Random(12)
+    keys = ["".join(rng.choice(letters) for _ in range(n)) for n in (20, 32, 40) for _ in range(200)]
+    assert sum(secret_scan.is_random(k, vocabulary) for k in keys) >= 0.96 * len(keys)
+
+
+def test_identifiers_are_no_secrets():
+    vocabulary = secret_scan.encoding(BYTE_RANKS, public_tokenizers.PATTERN)
+    for known in ("SUBQUERY_TYPE_SCALAR_2", "ERROR_PRIVILEGE_NOT_HELD", "MODULE_BINASCII_CFLAGS", "BYELORUSSIAN-UKRAINIAN", "HTMLParserXMLReaderV2Test", "ACGTTACGGACTACGTTAGCACG", "1234-5678-9012-3456-7890"):
+        assert not secret_scan.is_random(known, vocabulary)
+    spans = secret_scan.spans_of("key k7q2m9x4w1z8p3v6b5n0t2r7 of getElementsByTagNameAndValue", vocabulary)[1]
+    assert [s.kind for s in spans] == ["token"]
+
+
 def test_masking(spark, odd):
     out = {r.doc_id: r.text for r in secret_scan.mask(odd.filter("doc_id in (0, 4, 7)"), BYTE_RANKS, public_tokenizers.PATTERN).collect()}
     assert out[0] is None and out[4] == "é"
