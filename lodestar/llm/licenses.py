@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
+from collections.abc import Iterator
 from functools import lru_cache
 from typing import NamedTuple
 
@@ -81,6 +83,53 @@ CC_PARTS = ("by", "by-sa", "by-nd", "by-nc", "by-nc-sa", "by-nc-nd")
 CC_VERSIONS = ("1.0", "2.0", "2.5", "3.0", "4.0")
 CC_WORDS = {"by": "attribution", "sa": "share[- ]?alike", "nd": "no[- ]?deriv(?:ative)?s?(?: works)?", "nc": "non[- ]?commercial"}
 
+#: Marks that lines of comments, quotes, boxes and underlined titles begin or end with.
+MARKS = "*#/;%!>|=~_-"
+#: Runs of white space and marks that may hold a line break, or white space other than one space.
+GAP = re.compile(rf"(?:[\s{MARKS}]{{2,}}|[^\S ])(?:(?<=[\r\n])(?:dnl|rem)(?!\w)[\s{MARKS}]*)*")
+WIDE = re.compile(r"\s{2,}|[^\S ]")
+BREAK = re.compile(r"[\n\r\v\f\x85\u2028\u2029]")
+VERSION_WORD = re.compile(r"(?:version|ver\.|v\.?) ?$")
+
+GRANT = "permission is hereby granted, free of charge, to any person obtaining a copy of"
+MIT_GRANT = rf"{GRANT} this software and associated documentation files(?: \(the \W{{1,3}}software\W{{1,3}}\))?,? to deal"
+ISC_GRANT = "permission to use, copy, modify,? and(?:/or)? distribute this software for any purpose with or without fee is hereby granted"
+BSD_GRANT = "redistribution and use in source and binary forms,? with or without modification,? are permitted"
+#: On from there, up to the end of the same licence's conditions.
+WITHIN = rf"(?:(?!this software is provided|{BSD_GRANT}).){{0,3000}}?"
+ENDORSE = r"(?:neither the names? of|names? (?:(?!\. ).){0,200}?not be used to endorse)"
+FSF = r"general public licen[sc]e,? as published by the free software foundation[;,:]? (?:either )?"
+#: Sentences of the licences themselves: pattern, label, priority and what any match holds.
+SENTENCES = (
+    (rf"{MIT_GRANT} in the software without restriction", "mit", 88, GRANT),
+    (rf"{MIT_GRANT} with the software without restriction", "ncsa", 88, GRANT),
+    (rf"{GRANT} the font software", "ofl", 88, GRANT),
+    (r"permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license", "bsl-1.0", 88, "to any person or organization obtaining"),
+    (rf"{ISC_GRANT},? provided that the above copyright notice and this permission notice appear in all copies", "isc", 88, "with or without fee is hereby granted"),
+    (rf"{ISC_GRANT}\.", "0bsd", 88, "with or without fee is hereby granted"),
+    (BSD_GRANT, "bsd", 58, "redistribution and use in source and binary forms"),
+    (rf"{BSD_GRANT}{WITHIN}in binary form must reproduce", "bsd-2-clause", 86, "redistribution and use in source and binary forms"),
+    (rf"{BSD_GRANT}{WITHIN}{ENDORSE}", "bsd-3-clause", 87, "redistribution and use in source and binary forms"),
+    (rf"{BSD_GRANT}{WITHIN}all advertising materials mentioning{WITHIN}{ENDORSE}", "bsd-4-clause", 88, "redistribution and use in source and binary forms"),
+    (rf"{BSD_GRANT}{WITHIN}all advertising materials mentioning{WITHIN}apache group{WITHIN}{ENDORSE}", "apache-1.0", 89, "redistribution and use in source and binary forms"),
+    (rf"{BSD_GRANT}{WITHIN}the end-user documentation included with the redistribution{WITHIN}apache software foundation{WITHIN}{ENDORSE}", "apache-1.1", 89, "redistribution and use in source and binary forms"),
+    (r"permission is granted to anyone to use this software for any purpose,? including commercial applications,? and to alter it and redistribute it freely", "zlib", 88, "permission is granted to anyone to use this software"),
+    (r"each contributor hereby grants to you a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright license to reproduce, prepare derivative works of", "apache-2.0", 88, "each contributor hereby grants to you a perpetual"),
+    (r"this is free and unencumbered software released into the public domain", "unlicense", 88, "free and unencumbered software"),
+    (r"you just do what the fuck you want to", "wtfpl", 88, "you just do what the fuck"),
+    (r"as long as you retain this notice you can do whatever you want with this stuff", "beerware", 88, "as long as you retain this notice"),
+    (r"affirmer hereby overtly, fully, permanently, irrevocably and unconditionally waives", "cc0-1.0", 88, "affirmer hereby overtly"),
+    (r"the licenses for most software are designed to take away your freedom to share and change it\. by contrast, the gnu general public license is intended", "gpl-2.0", 88, "designed to take away your freedom"),
+    (r"the gnu general public license is a free, copyleft license for software and other kinds of works", "gpl-3.0", 88, "is a free, copyleft license"),
+    (r"the gnu affero general public license is a free, copyleft license for software and other kinds of works", "agpl-3.0", 88, "is a free, copyleft license"),
+    (r"this license, the library general public license, applies to", "lgpl-2.0", 88, "this license, the library general"),
+    (r"this license, the lesser general public license, applies to", "lgpl-2.1", 88, "this license, the lesser general"),
+    (r"this version of the gnu lesser general public license incorporates the terms and conditions of version 3", "lgpl-3.0", 88, "incorporates the terms and conditions of version 3"),
+    (r"the intent of this document is to state the conditions under which a package may be copied", "artistic-1.0", 88, "conditions under which a package may be copied"),
+    (r"this license establishes the terms under which a given free software package may be copied", "artistic-2.0", 88, "a given free software package"),
+    (r"permission is hereby granted to any person obtaining a copy of this software, associated documentation and/or data", "upl-1.0", 88, "associated documentation and/or data"),
+)
+
 
 class Rule(NamedTuple):
     keyword: str  #: stands in every text the pattern matches
@@ -90,9 +139,9 @@ class Rule(NamedTuple):
 
 
 def version_pattern(version: str) -> str:
-    """``2.0`` is also written ``2``."""
+    """``2.0`` is also written ``2``; group ``n`` is where the number begins."""
     whole, _, part = version.partition(".")
-    return re.escape(whole) + (r"(?:\.0)?" if part == "0" else re.escape(f".{part}")) + r"(?![.\d]*\d)"
+    return "(?P<n>)" + re.escape(whole) + (r"(?:\.0)?" if part == "0" else re.escape(f".{part}")) + r"(?![.\d]*\d)"
 
 
 def literal_of(pattern: str) -> str:
@@ -108,7 +157,10 @@ def literal_of(pattern: str) -> str:
 
 @lru_cache(maxsize=1)
 def rules() -> tuple[Rule, ...]:
-    """All rules: for each licence and version a tag, a place on the web, a title and a short name."""
+    """All rules: for each licence and version a tag, a place on the web, a title and a short name; then sentences.
+
+    Group ``t`` is where a title ends that a number without ``version`` may follow.
+    """
     made = []
 
     def add(pattern: str, label: str, priority: int, keyword: str = "") -> None:
@@ -118,12 +170,12 @@ def rules() -> tuple[Rule, ...]:
     for stem, titles, versions, short, web in FAMILIES:
         for title in titles.split("|") if "(" not in titles else re.split(r"\|(?![^(]*\))", titles):
             for version in versions:
-                add(rf"{title},?(?: \(?[a-z]*\)?,?)? ?(?:version|ver\.|v\.?)? ?{version_pattern(version)}", f"{stem}-{version}", 80)
+                add(rf"{title}(?P<t>),?(?: \(?[a-z]*\)?,?)? ?(?:version|ver\.|v\.?)? ?{version_pattern(version)}", f"{stem}-{version}", 80)
             add(rf"{title}", stem, 60)
             add(rf"(?:licen[sc]ed|distributed|released|available) under (?:the )?(?:terms of )?(?:the )?(?:{title})", stem, 65)
         for version in versions:
             add(rf"spdx-license-identifier: *{re.escape(short)}-{re.escape(version)}(?:-only|-or-later|\+)?", f"{stem}-{version}", 100, "spdx-license-identifier")
-            add(rf"{re.escape(short)}[- ]?v?{version_pattern(version)}", f"{stem}-{version}", 70, short)
+            add(rf"{re.escape(short)}(?P<t>)[- ]?v?{version_pattern(version)}", f"{stem}-{version}", 70, short)
             add(rf"{web}[^ \n]*{re.escape(version)}", f"{stem}-{version}", 92)
         add(rf"spdx-license-identifier: *{re.escape(short)}(?![\w.-])", stem, 98, "spdx-license-identifier")
         add(web, stem, 90)
@@ -133,15 +185,62 @@ def rules() -> tuple[Rule, ...]:
         for version in CC_VERSIONS:
             add(rf"spdx-license-identifier: *cc-{parts}-{re.escape(version)}", f"cc-{parts}-{version}", 100, "spdx-license-identifier")
             add(rf"creativecommons\.org/licenses/{parts}/{re.escape(version)}", f"cc-{parts}-{version}", 92)
-            add(rf"cc[- ]{dashed}[- ]?v?{version_pattern(version)}", f"cc-{parts}-{version}", 72, "cc")
-            add(rf"creative commons {words} (?:licen[sc]e )?(?:version )?{version_pattern(version)}", f"cc-{parts}-{version}", 82)
+            add(rf"cc[- ]{dashed}(?P<t>)[- ]?v?{version_pattern(version)}", f"cc-{parts}-{version}", 72, "cc")
+            add(rf"creative commons {words}(?P<t>) (?:licen[sc]e )?(?:version )?{version_pattern(version)}", f"cc-{parts}-{version}", 82)
             add(rf"creative commons {words} {re.escape(version)} (?:international|unported|generic) licen[sc]e", f"cc-{parts}-{version}", 84)
         add(rf"creativecommons\.org/licenses/{parts}(?![-\w])", f"cc-{parts}", 90)
         add(rf"cc[- ]{dashed}(?![-\w])", f"cc-{parts}", 62, "cc")
         add(rf"creative commons {words}", f"cc-{parts}", 64)
+    for stem, before, versions in (("gpl", "(?:gnu )?", ("1.0", "2.0", "3.0")), ("lgpl", "(?:gnu )?(?:lesser|library) ", ("2.0", "2.1", "3.0")), ("agpl", "(?:gnu )?affero ", ("3.0",))):
+        for version in versions:
+            add(rf"{before}{FSF}version {version_pattern(version)}", f"{stem}-{version}", 85, "published by the free software foundation")
+    for sentence in SENTENCES:
+        add(*sentence)
     return tuple(made)
 
 
+def folds(text: str) -> Iterator[tuple[int, int, bool]]:
+    """(start, end, whether a line ends) of the stretches of ``text`` that count as one space.
+
+    A line break takes the marks around it along, but not those that stand at a word's end.
+    """
+    for gap in GAP.finditer(text):
+        run, start = gap[0], gap.start()
+        if BREAK.search(run):
+            yield start + len(run) - len(run.lstrip(MARKS)), gap.end(), True
+        else:
+            for wide in WIDE.finditer(run):
+                yield start + wide.start(), start + wide.end(), False
+
+
+class Folded:
+    """A text with its folds made, and the way back to its own offsets."""
+
+    def __init__(self, text: str):
+        parts, at, made = [], 0, 0
+        self.after, self.shift, self.breaks = [0], [0], []
+        for start, end, ends_line in folds(text):
+            parts += (text[at:start], " ")
+            made += start - at + 1
+            at = end
+            self.after.append(made)
+            self.shift.append(end - made)
+            if ends_line:
+                self.breaks.append(made - 1)
+        self.text = "".join([*parts, text[at:]]) if parts else text
+
+    def origin(self, at: int) -> int:
+        """Where the character at ``at`` stands in the text itself."""
+        return at + self.shift[bisect_right(self.after, at) - 1]
+
+    def is_number_apart(self, m: re.Match) -> bool:
+        """Whether a match's number is on another line than its title and is not called a version."""
+        if not self.breaks or "t" not in m.re.groupindex:
+            return False
+        n = m.start("n")
+        return bisect_right(self.breaks, n - 1) > bisect_right(self.breaks, m.end("t") - 1) and not VERSION_WORD.search(self.text[m.start() : n])
+
+
 class Detection(NamedTuple):
     start: int
     end: int
@@ -174,11 +273,14 @@ class Scanner:
         self.keywords.make_automaton()
 
     def detections(self, lowered: str) -> list[Detection]:
-        gated = {ids for _, ids in self.keywords.iter(lowered)}
+        folded = Folded(lowered)
+        gated = {ids for _, ids in self.keywords.iter(folded.text)}
         found = []
         for i in sorted({*self.always, *(i for ids in gated for i in ids)}):
             rule = self.rules[i]
-            found += [Detection(*m.span(), rule.label, rule.priority) for m in rule.pattern.finditer(lowered)]
+            for m in rule.pattern.finditer(folded.text):
+                if not folded.is_number_apart(m):
+                    found.append(Detection(folded.origin(m.start()), folded.origin(m.end() - 1) + 1, rule.label, rule.priority))
         return settled(found)
 
 
@@ -219,7 +321,8 @@ def scan(docs: DataFrame) -> DataFrame:
     detections (code-point spans with label and priority, after overlaps are settled). A null
     or empty text has no words, no places, empty labels and score 0; rows stand for
     themselves, so repeated ones give repeated results; other columns are not read. A label
-    that a base phrase gave always stays.
+    that a base phrase gave always stays. The rules read runs of white space, and line breaks
+    with the comment marks around them, as one space.
     """
 
     def run(batches):

@@ -123,6 +123,48 @@ def test_license_gate_loses_nothing():
         assert plain and licenses.scanner().detections(text) == licenses.settled(plain)
 
 
+def test_license_titles_over_lines():
+    scan = licenses.scanner()
+
+    def labels(text):
+        return {d.label for d in scan.detections(text.lower())}
+
+    assert "apache-2.0" in labels("      Apache License\n      Version 2.0, January 2004\n")
+    assert "gpl-3.0" in labels("GNU GENERAL PUBLIC LICENSE\n   Version 3, 29 June 2007")
+    assert "mpl-2.0" in labels("/* subject to the Mozilla Public\r\n * License,\tv. 2.0 */")
+    assert labels("# Mozilla Public\n# License") == {"mpl"}
+    assert "cddl-1.0" in labels("dnl common development  and\ndnl distribution license\ndnl\ndnl version 1.0")
+    assert labels("* Mozilla Public License  *\n* ======= *\n\n1.1. Definitions") == {"mpl"}
+    assert labels("under the GPL\n\n2. Next") == set()
+    assert "lgpl-2.1" in labels("-- GNU Lesser General Public\n-- License as published by the Free Software Foundation; either\n-- version 2.1 of")
+    text = "é // the  Mozilla Public\n   //   License \tVersion 1.1, and so on"
+    best = max(scan.detections(text.lower()), key=lambda d: d.priority)
+    assert text[best.start : best.end] == "Mozilla Public\n   //   License \tVersion 1.1"
+    assert scan.detections("* " * 100000 + "\n" * 100000) == []
+
+
+def test_license_sentences():
+    scan = licenses.scanner()
+
+    def labels(text):
+        return {d.label for d in scan.detections(text.lower())}
+
+    mit = 'Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the "Software"), to deal\nin the Software without restriction, including'
+    assert labels(mit) == {"mit"}
+    assert labels(" * Permission to use, copy, modify, and/or distribute this software for any\n * purpose with or without fee is hereby granted, provided that the above\n * copyright notice and this permission notice appear in all copies.") == {"isc"}
+    head = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n"
+    clauses = "1. Redistributions of source code must retain the above copyright notice.\n2. Redistributions in binary form must reproduce the above copyright\nnotice.\n"
+    advert = "3. All advertising materials mentioning features or use of this software must\ndisplay the following acknowledgement: x.\n"
+    names = "Neither the name of the University nor the names of its contributors may be used\nto endorse\n"
+    end = "THIS SOFTWARE IS PROVIDED BY THE AUTHOR"
+    assert labels(head + clauses + end) == {"bsd-2-clause"}
+    assert labels(head + clauses + names + end) == {"bsd-3-clause"}
+    assert labels(head + clauses + advert + names + end) == {"bsd-4-clause"}
+    assert labels(head + clauses + end + "\n\n" + head + clauses + names + end) == {"bsd-2-clause", "bsd-3-clause"}
+    for pattern, label, _, keyword in licenses.SENTENCES:
+        assert keyword in pattern.replace("\\", "") and label, pattern
+
+
 def test_settled_by_priority_and_containment():
     d = licenses.Detection
     assert licenses.settled([d(0, 10, "a", 5), d(2, 6, "b", 5), d(2, 12, "c", 4), d(0, 30, "d", 1)]) == [d(0, 10, "a", 5), d(0, 30, "d", 1), d(2, 12, "c", 4)]
