@@ -122,6 +122,37 @@ def test_near_duplicates(spark, monkeypatch):
     assert near_text.near_duplicates(frame.limit(0)).count() == 0
 
 
+def reordered_and_repeated(rng):
+    """Pairs of texts with similar sets of runs: blocks in another order, or the text several times."""
+    words = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(3000)]
+    pairs = []
+    for k in range(60):
+        base = [rng.choice(words) for _ in range([200, 300, 40][k % 3])]
+        if k % 3 == 1:
+            blocks = [base[i : i + 30] for i in range(0, 300, 30)]
+            rng.shuffle(blocks)
+            pairs.append((base, sum(blocks, [])))
+        else:
+            pairs.append((base, base * (2 + k % 5)))
+    return [(" ".join(a), " ".join(b)) for a, b in pairs]
+
+
+def test_near_duplicates_in_any_order_and_number(spark):
+    pairs = [p for p in reordered_and_repeated(random.Random(21)) if similar(*p)]
+    assert len(pairs) >= 40
+    rows = [(2 * i + k, p[k]) for i, p in enumerate(pairs) for k in (0, 1)]
+    got = near_text.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.class_id for r in got} == {i: i // 2 * 2 for i, _ in rows}
+
+
+def test_rest_keys_of_distinct_runs():
+    rng = np.random.default_rng(5)
+    shared, own = (rng.integers(1 << 62, size=n).astype(np.uint64) for n in (60, 60))
+    pivot, once = near_text.Text(shared), near_text.Text(np.concatenate([shared, own]))
+    thrice = near_text.Text(np.concatenate([shared, own, shared, own, shared, own]))
+    assert set(near_text.rest_keys(once, pivot, 1).tolist()) & set(near_text.rest_keys(thrice, pivot, 1).tolist())
+
+
 def test_banded_alignment():
     rng = random.Random(8)
     for _ in range(200):
