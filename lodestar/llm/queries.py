@@ -8,9 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import bpe, chat, fingerprints, language, licenses, mixing, near_text, near_vectors, secret_scan, toxicity
+from lodestar.llm import alignment, bpe, chat, fingerprints, language, licenses, manifest, mixing, near_text, near_vectors, secret_scan, toxicity, warc
 from lodestar.session import table
 
+BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+PIECE_VOCABULARY = public_tokenizers.path("piece_bpe_32k.model")
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 TOKEN_PATTERN = public_tokenizers.PATTERN
@@ -81,3 +83,18 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op10_bpe")
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoding_digests(table(spark, sf_dir, "documents"), WORD_VOCABULARY)
+
+
+@register("op11_tokenizer_alignment")
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignment_digests(table(spark, sf_dir, "documents"), BYTE_VOCABULARY, PIECE_VOCABULARY)
+
+
+@register("op12_merkle_manifest", manifest.MANIFEST_SQL)
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.manifest_digests(table(spark, sf_dir, "documents"))
+
+
+@register("op13_warc", warc.ARCHIVE_SQL)
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived_pages(table(spark, sf_dir, "pages"))
