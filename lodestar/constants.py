@@ -41,6 +41,8 @@ EVAL_KS = (5, 10, 20)
 MAX_FRESH_TOKENS = 400_000
 CONTEXT_CEILING_TOKENS = 250_000
 MAX_GREP_RESULTS = 40
+MAX_FOOTER_LINES = 12
+RELATED_SHOWN = 5
 MAX_GLOB_SHOWN = 100
 
 # Directories a repository walk never enters.

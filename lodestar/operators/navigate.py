@@ -13,6 +13,7 @@ from lodestar.session import settle
 # Rows of a relation: (keys, anchor, label, node, via, confidence, line, tie).
 GROUP_LABELS_SYMBOL = ("Calls", "Called by", "Uses types", "Implementations", "Related tests")
 GROUP_LABELS_FILE = ("Defined here", "Related code", "Used by", "Related tests")
+GROUP_LABELS_IMPACT = ("Direct callers", "Indirect callers", "Implementations", "Tests covering the change")
 
 
 def trust(confidence: str | Column = "confidence") -> Column:
@@ -158,7 +159,9 @@ def neighbors(graph: Graph, anchors: DataFrame | None = None, per_group: int = 8
         rows, graph, _contained(graph, False),
         {"Calls": "Related code", "Called by": "Used by", "Related tests": "Related tests"}, ("Related tests",),
     )
-    every = rows.select(*columns).unionByName(defined.select(*columns)).unionByName(lifted.select(*columns))
+    # a file's groups are those of what it defines; what stands outside any symbol is not among them
+    symbols = rows.filter(~F.col("anchor").startswith("file:"))
+    every = symbols.select(*columns).unionByName(defined.select(*columns)).unionByName(lifted.select(*columns))
     every = every.filter(F.col("node") != F.col("anchor"))
     if not include_heuristic:
         every = every.filter(F.col("confidence") != "heuristic")

@@ -38,7 +38,7 @@ lift0 AS (SELECT c.repo, 'file:' || a.file AS anchor, CASE c.label WHEN 'Calls'
   FROM code c JOIN sym a ON a.repo = c.repo AND a.id = c.anchor AND a.kind <> 'test' JOIN nd n ON n.repo = c.repo AND n.id = c.node
   WHERE c.label IN ('Calls', 'Called by', 'Related tests') AND (n.file <> a.file OR c.label = 'Related tests')),
 lift AS (SELECT * FROM lift0 QUALIFY row_number() OVER (PARTITION BY repo, anchor, label, node ORDER BY trust DESC, -pr, sl, sp) = 1),
-grp AS (SELECT repo, anchor, label, node, via, confidence, line, trust FROM code
+grp AS (SELECT repo, anchor, label, node, via, confidence, line, trust FROM code WHERE anchor NOT LIKE 'file:%'
   UNION ALL SELECT repo, anchor, label, node, via, confidence, line, trust FROM lift
   UNION ALL SELECT e.repo, e.src, 'Defined here', e.dst, e.kind, e.confidence, e.line, 3 FROM edges e JOIN sym s ON s.repo = e.repo AND s.id = e.dst
     WHERE e.kind = 'contains' AND s.kind <> 'test'),
@@ -100,8 +100,8 @@ file_callees = _file_relation("callees", "Calls")
 file_tests = _file_relation("tests", "Related tests")
 
 
-IMPACT = f"""{RELATED},
-touched AS (SELECT repo, file AS change, id AS anchor, pos FROM sym),
+# Of touched(repo, change, anchor, pos): what each change reaches.
+SURFACE = f"""
 cb AS (SELECT * FROM code WHERE label = 'Called by'),
 direct AS (SELECT t.repo, t.change, c.node, c.via, c.confidence, c.line, c.trust FROM touched t JOIN cb c ON c.repo = t.repo AND c.anchor = t.anchor
   WHERE NOT EXISTS (SELECT 1 FROM touched x WHERE x.repo = t.repo AND x.change = t.change AND x.anchor = c.node)
@@ -122,6 +122,10 @@ ip AS (SELECT g.*, row_number() OVER (PARTITION BY g.repo, g.change, g.label ORD
   count(*) OVER (PARTITION BY g.repo, g.change, g.label) AS n FROM ig g JOIN nd n ON n.repo = g.repo AND n.id = g.node)
 """
 
+IMPACT = f"""{RELATED},
+touched AS (SELECT repo, file AS change, id AS anchor, pos FROM sym), {SURFACE}
+"""
+
 
 def _each_file(graph):
     return graph.files.select("repo", F.col("file").alias("change"), "file", F.lit(0).alias("ord"))
@@ -244,26 +248,29 @@ def path_candidates(spark, sf_dir):
     return found.withColumn("score", F.round("score", 6))
 
 
-@workload(
-    "unknown_symbols",
-    f"""WITH {RESOLVED}, ext AS (
+def unknown_sql(name: str, refs: str = "TRUE") -> str:
+    """CTE ``name``: the names that the references for which ``refs`` holds do not find."""
+    return f"""
+    {name}_ext AS (
       SELECT repo, file, alias AS name FROM imp WHERE import_dir IS NULL AND import_file IS NULL AND alias IS NOT NULL
       UNION SELECT repo, file, name_a FROM imp WHERE import_dir IS NULL AND import_file IS NULL AND name_a IS NOT NULL
       UNION SELECT repo, file, name_b FROM imp WHERE import_dir IS NULL AND import_file IS NULL AND name_b IS NOT NULL),
-    hidden AS (SELECT repo, file, name FROM locals UNION SELECT * FROM ext),
-    op AS (SELECT l.*, r.member FROM look l JOIN refs r ON r.repo = l.repo AND r.file = l.file AND r.pos = l.pos WHERE l.ek <> 'implements'
+    {name}_hidden AS (SELECT repo, file, name FROM locals UNION SELECT * FROM {name}_ext),
+    {name}_op AS (SELECT l.*, r.member FROM look l JOIN refs r ON r.repo = l.repo AND r.file = l.file AND r.pos = l.pos WHERE l.ek <> 'implements' AND {refs}
       AND NOT EXISTS (SELECT 1 FROM locals x WHERE x.repo = l.repo AND x.file = l.file AND x.name = l.name)
-      AND NOT EXISTS (SELECT 1 FROM hidden x WHERE x.repo = l.repo AND x.file = l.file AND x.name = l.qualifier)
-      AND NOT (l.qualifier IS NULL AND EXISTS (SELECT 1 FROM ext x WHERE x.repo = l.repo AND x.file = l.file AND x.name = l.name))),
-    lands AS (SELECT DISTINCT e.repo, e.src, e.line, s.name FROM edges e JOIN sym s ON s.repo = e.repo AND s.id = e.dst WHERE e.line IS NOT NULL),
-    d AS (SELECT o.*, EXISTS (SELECT 1 FROM imp i WHERE i.repo = o.repo AND i.file = o.file AND i.alias = o.qualifier AND (i.lang <> 'go' OR i.import_dir IS NOT NULL)) AS known,
+      AND NOT EXISTS (SELECT 1 FROM {name}_hidden x WHERE x.repo = l.repo AND x.file = l.file AND x.name = l.qualifier)
+      AND NOT (l.qualifier IS NULL AND EXISTS (SELECT 1 FROM {name}_ext x WHERE x.repo = l.repo AND x.file = l.file AND x.name = l.name))),
+    {name}_lands AS (SELECT DISTINCT e.repo, e.src, e.line, s.name FROM edges e JOIN sym s ON s.repo = e.repo AND s.id = e.dst WHERE e.line IS NOT NULL),
+    {name}_d AS (SELECT o.*, EXISTS (SELECT 1 FROM imp i WHERE i.repo = o.repo AND i.file = o.file AND i.alias = o.qualifier AND (i.lang <> 'go' OR i.import_dir IS NOT NULL)) AS known,
       EXISTS (SELECT 1 FROM sym s WHERE s.repo = o.repo AND s.name = o.name) AS anywhere
-      FROM op o WHERE NOT EXISTS (SELECT 1 FROM lands t WHERE t.repo = o.repo AND t.src = o.src AND t.line = o.line AND t.name = o.name)),
-    j AS (SELECT *, CASE WHEN qualifier IS NOT NULL THEN CASE WHEN known THEN 'not-in-package' END WHEN NOT anywhere THEN 'not-found' END AS reason
-      FROM d WHERE NOT member OR known)
-    SELECT repo, file, name, qualifier, line, pos, reason FROM j WHERE reason IS NOT NULL
-    QUALIFY row_number() OVER (PARTITION BY repo, file, name, qualifier ORDER BY pos) = 1""",
-)
+      FROM {name}_op o WHERE NOT EXISTS (SELECT 1 FROM {name}_lands t WHERE t.repo = o.repo AND t.src = o.src AND t.line = o.line AND t.name = o.name)),
+    {name}_j AS (SELECT *, CASE WHEN qualifier IS NOT NULL THEN CASE WHEN known THEN 'not-in-package' END WHEN NOT anywhere THEN 'not-found' END AS reason
+      FROM {name}_d WHERE NOT member OR known),
+    {name} AS (SELECT repo, file, name, qualifier, line, pos, reason FROM {name}_j WHERE reason IS NOT NULL
+      QUALIFY row_number() OVER (PARTITION BY repo, file, name, qualifier ORDER BY pos) = 1)"""
+
+
+@workload("unknown_symbols", f"WITH {RESOLVED}, {unknown_sql('unknown')} SELECT * FROM unknown")
 def unknown_symbols(spark, sf_dir):
     facts, graph = indexed(spark, sf_dir)
     return validate.unknown_symbols(facts, graph)
