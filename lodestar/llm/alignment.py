@@ -8,7 +8,6 @@ import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import accumulate
 from typing import NamedTuple
 
 import numpy as np
@@ -38,14 +37,14 @@ COUNTED_AT_ONCE = 1 << 20
 class Alignment(NamedTuple):
     """Ids of a text, and where its groups end in them: the k-th holds ``a[a_cuts[k-1] : a_cuts[k]]``."""
 
-    a: list[int]
-    b: list[int]
-    a_cuts: list[int]
-    b_cuts: list[int]
+    a: np.ndarray
+    b: np.ndarray
+    a_cuts: np.ndarray
+    b_cuts: np.ndarray
 
     def groups(self) -> list[tuple[list[int], list[int]]]:
-        a, b, out, i, j = self.a, self.b, [], 0, 0
-        for p, q in zip(self.a_cuts, self.b_cuts, strict=True):
+        a, b, out, i, j = self.a.tolist(), self.b.tolist(), [], 0, 0
+        for p, q in zip(self.a_cuts.tolist(), self.b_cuts.tolist(), strict=True):
             out.append((a[i:p], b[j:q]))
             i, j = p, q
         return out
@@ -55,10 +54,10 @@ class Alignment(NamedTuple):
 
         Tokens have a byte at least, so in a slice only the last two end at its cut.
         """
-        return np.array(self.a, np.int64)[np.array(self.a_cuts, np.int64) - 1], np.array(self.b, np.int64)[np.array(self.b_cuts, np.int64) - 1]
+        return self.a[self.a_cuts - 1], self.b[self.b_cuts - 1]
 
 
-NOTHING = Alignment([], [], [], [])
+NOTHING = Alignment(*(np.zeros(0, np.int64) for _ in range(4)))
 
 
 class ByteBpe:
@@ -90,7 +89,7 @@ class ByteBpe:
             self.ranks = tiktoken.Encoding("bytes", pat_str=WORD_SPLIT, mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, text: str) -> list[int]:
-        if self.ranks is not None and COMMON.fullmatch(text):
+        if self.ranks is not None and (text.isascii() or COMMON.fullmatch(text)):
             return self.ranks.encode_ordinary(text)
         return self.library.encode(text, add_special_tokens=False).ids
 
@@ -114,6 +113,7 @@ class Aligner:
 
     def __init__(self, a_path: str, b_path: str):
         self.a, self.b = ByteBpe(a_path), PieceBpe(b_path)
+        self.a_lengths, self.b_lengths = (np.array([len(t) for t in side.bytes]) for side in (self.a, self.b))
         self.names = [f"{i}{mark}" for i in range(max(len(self.a.bytes), len(self.b.bytes))) for mark in ",|;"]
 
     def align(self, texts: list[str]) -> Iterator[Alignment]:
@@ -125,17 +125,18 @@ class Aligner:
             yield self.aligned(" " + text, self.a.encode(" " + text), b) if text else NOTHING
 
     def aligned(self, whole: str, a: list[int], b: list[int]) -> Alignment:
-        a_bytes, b_bytes, spelled = list(map(self.a.bytes.__getitem__, a)), list(map(self.b.bytes.__getitem__, b)), whole.encode()
-        if b"".join(a_bytes) != spelled or b"".join(b_bytes) != spelled:
+        spelled = whole.encode()
+        if b"".join(map(self.a.bytes.__getitem__, a)) != spelled or b"".join(map(self.b.bytes.__getitem__, b)) != spelled:
             return NOTHING
-        a_at = dict(zip(accumulate(map(len, a_bytes)), range(1, len(a) + 1), strict=True))
-        b_at = dict(zip(accumulate(map(len, b_bytes)), range(1, len(b) + 1), strict=True))
-        ends = sorted(a_at.keys() & b_at.keys())  # the last token of each, so none is left over
-        return Alignment(a, b, list(map(a_at.__getitem__, ends)), list(map(b_at.__getitem__, ends)))
+        a_ids, b_ids = np.array(a, np.int64), np.array(b, np.int64)
+        a_at = dict(zip(self.a_lengths[a_ids].cumsum().tolist(), range(1, len(a) + 1), strict=True))
+        b_at = dict(zip(self.b_lengths[b_ids].cumsum().tolist(), range(1, len(b) + 1), strict=True))
+        ends = list(filter(a_at.__contains__, b_at))  # in order, as they were put in; the last is that of the text
+        return Alignment(a_ids, b_ids, *(np.fromiter(map(at.__getitem__, ends), np.int64, len(ends)) for at in (a_at, b_at)))
 
     def written(self, found: Alignment) -> str:
         """The groups as ``a1,a2|b1;a3|b2,b3``: each id with the mark that follows it, put in its place."""
-        a, b, p, q = (np.array(x, np.int64) for x in found)
+        a, b, p, q = found
         a_marks, b_marks = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
         a_marks[p - 1], b_marks[q - 1] = 1, 2
         row = np.empty(len(a) + len(b), np.int64)
@@ -202,7 +203,7 @@ def aligned_rows(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
                     n_b.append(len(found.b))
                     n_groups.append(len(found.a_cuts))
                     n_links.append(len(a_linked))
-                    digests.append(hashlib.sha256(both.written(found).encode()).hexdigest() if found.a else "")
+                    digests.append(hashlib.sha256(both.written(found).encode()).hexdigest() if len(found.a) else "")
                     pairs.append(codes)
                     times.append(often)
                 long = pa.int64()
