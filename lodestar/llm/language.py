@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,7 +19,8 @@ SMOOTHING = 0.05
 #: A prediction whose nearest and second-nearest codewords differ by less is marked ambiguous.
 AMBIGUOUS = 0.05
 UNKNOWN = "und"
-LETTER = re.compile(r"[^\W\d_]")
+#: Of general category L: neither superscripts nor fractions nor Roman numerals are letters.
+LETTER = regex.compile(r"\p{L}")
 SPACE = np.uint8(32)
 IN_GRAM = np.zeros(256, bool)
 IN_GRAM[65:91] = IN_GRAM[97:123] = IN_GRAM[128:] = True
@@ -146,8 +146,9 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, lang_pred, score and ambiguous for every row, from the whole text alone.
 
     A null text, or one without a letter, gets ``und`` and score 0, and so do all rows if
-    nothing was learned; repeated rows give repeated results; other columns are not read
-    but for ``held_out``.
+    nothing was learned; of languages whose codewords are equally near the first by name is
+    taken, and the row is ambiguous; repeated rows give repeated results; other columns are
+    not read but for ``held_out``. A text of any length is read whole, in one pass.
     """
 
     def run(batches):
