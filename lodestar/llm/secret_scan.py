@@ -71,7 +71,7 @@ def ordered(spans: list[Span]) -> list[Span]:
 
 def is_written(word: str, vocabulary: tiktoken.Encoding) -> bool:
     """Whether ``word`` is one of the vocabulary, in any case, or a long one of few tokens."""
-    if not LEAST_WORD <= len(word) <= 4096:
+    if len(word) < LEAST_WORD:
         return False
     tokens = min(len(vocabulary.encode_ordinary(space + w)) for w in {word, word.lower()} for space in ("", " "))
     return tokens == 1 or any(len(word) >= n and len(word) >= each * tokens for n, each in LONG_WORDS)
@@ -86,9 +86,7 @@ def is_random(run: str, vocabulary: tiktoken.Encoding) -> bool:
     core = run.strip("=+/_-")
     if UUID.fullmatch(core) or DIGEST.fullmatch(core) and len(core) in DIGEST_LENGTHS:
         return False
-    # in stretches, so that a text of one endless run costs no more than its length
-    tokens = sum(len(vocabulary.encode_ordinary(run[i : i + 4096])) for i in range(0, len(run), 4096))
-    if len(run) >= LEAST_PER_TOKEN * tokens:
+    if len(run) >= LEAST_PER_TOKEN * len(vocabulary.encode_ordinary(run)):
         return False
     parts = PART.findall(core)
     if not parts or len(set(core.lower())) <= MOST_REPEATED:
@@ -97,11 +95,17 @@ def is_random(run: str, vocabulary: tiktoken.Encoding) -> bool:
 
 
 def spans_of(text: str, vocabulary: tiktoken.Encoding) -> tuple[list[Span], list[Span]]:
-    """The base spans, and all spans: a random string adds one where no base span lies."""
+    """The base spans, and all spans: a random string adds one where no base span lies.
+
+    Both lists are in order, so one pass over them tells which stretches base spans touch.
+    """
     base = base_spans(text)
-    added = []
+    added, i, furthest = [], 0, 0
     for run in RUN.finditer(text):
-        if not any(s.start < run.end() and run.start() < s.end for s in base) and is_random(run[0], vocabulary):
+        while i < len(base) and base[i].start < run.end():
+            furthest = max(furthest, base[i].end)
+            i += 1
+        if furthest <= run.start() and is_random(run[0], vocabulary):
             added.append(Span(*run.span(), "token"))
     return base, ordered(base + added)
 
@@ -125,7 +129,9 @@ def scan(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     Returns doc_id, n_assign, n_access, n_hex, n_token, base_sha256 and spans. A null or empty
     text has none and the digest of the empty string; rows stand for themselves, so repeated
-    ones give repeated results; other columns are not read.
+    ones give repeated results; an empty table gives no rows; other columns are not read. A
+    text of any length is scanned whole, in time that grows with its length. Spans that start
+    together are listed by kind.
     """
 
     def run(batches):
@@ -148,7 +154,10 @@ def scan(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
 
 def mask(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """``docs`` with every secret in ``text`` masked; texts without one, and nulls, stay as they are."""
+    """``docs`` with every secret in ``text`` masked; texts without one, and nulls, stay as they are.
+
+    Spans that overlap or start together share one mask; an empty table stays empty.
+    """
 
     def run(batches):
         vocabulary = encoding(path, pattern)
