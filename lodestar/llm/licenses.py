@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 from typing import NamedTuple
@@ -95,9 +95,9 @@ GRANT = "permission is hereby granted, free of charge, to any person obtaining a
 MIT_GRANT = rf"{GRANT} this software and associated documentation files(?: \(the \W{{1,3}}software\W{{1,3}}\))?,? to deal"
 ISC_GRANT = "permission to use, copy, modify,? and(?:/or)? distribute this software for any purpose with or without fee is hereby granted"
 BSD_GRANT = "redistribution and use in source and binary forms,? with or without modification,? are permitted"
-#: On from there, up to the end of the same licence's conditions.
-WITHIN = rf"(?:(?!this software is provided|{BSD_GRANT}).){{0,3000}}?"
-ENDORSE = r"(?:neither the names? of|names? (?:(?!\. ).){0,200}?not be used to endorse)"
+BSD_KEYWORD = "redistribution and use in source and binary forms"
+#: Sentences of a clause on names: where it begins and ends, and what begins it anew.
+ENDORSE_ALL, ENDORSE_NAME, ENDORSE_END = "neither the names? of", "names? ", "not be used to endorse"
 FSF = r"general public licen[sc]e,? as published by the free software foundation[;,:]? (?:either )?"
 #: Sentences of the licences themselves: pattern, label, priority and what any match holds.
 SENTENCES = (
@@ -107,12 +107,7 @@ SENTENCES = (
     (r"permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license", "bsl-1.0", 88, "to any person or organization obtaining"),
     (rf"{ISC_GRANT},? provided that the above copyright notice and this permission notice appear in all copies", "isc", 88, "with or without fee is hereby granted"),
     (rf"{ISC_GRANT}\.", "0bsd", 88, "with or without fee is hereby granted"),
-    (BSD_GRANT, "bsd", 58, "redistribution and use in source and binary forms"),
-    (rf"{BSD_GRANT}{WITHIN}in binary form must reproduce", "bsd-2-clause", 86, "redistribution and use in source and binary forms"),
-    (rf"{BSD_GRANT}{WITHIN}{ENDORSE}", "bsd-3-clause", 87, "redistribution and use in source and binary forms"),
-    (rf"{BSD_GRANT}{WITHIN}all advertising materials mentioning{WITHIN}{ENDORSE}", "bsd-4-clause", 88, "redistribution and use in source and binary forms"),
-    (rf"{BSD_GRANT}{WITHIN}all advertising materials mentioning{WITHIN}apache group{WITHIN}{ENDORSE}", "apache-1.0", 89, "redistribution and use in source and binary forms"),
-    (rf"{BSD_GRANT}{WITHIN}the end-user documentation included with the redistribution{WITHIN}apache software foundation{WITHIN}{ENDORSE}", "apache-1.1", 89, "redistribution and use in source and binary forms"),
+    (BSD_GRANT, "bsd", 58, BSD_KEYWORD),
     (r"permission is granted to anyone to use this software for any purpose,? including commercial applications,? and to alter it and redistribute it freely", "zlib", 88, "permission is granted to anyone to use this software"),
     (r"each contributor hereby grants to you a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright license to reproduce, prepare derivative works of", "apache-2.0", 88, "each contributor hereby grants to you a perpetual"),
     (r"this is free and unencumbered software released into the public domain", "unlicense", 88, "free and unencumbered software"),
@@ -131,6 +126,17 @@ SENTENCES = (
 )
 
 
+#: Conditions after a grant of the BSD kind, in their order, and the licence that they make.
+#: ``endorse`` is the clause on names.
+CONDITIONS = (
+    (("in binary form must reproduce",), "bsd-2-clause", 86),
+    (("endorse",), "bsd-3-clause", 87),
+    (("all advertising materials mentioning", "endorse"), "bsd-4-clause", 88),
+    (("all advertising materials mentioning", "apache group", "endorse"), "apache-1.0", 89),
+    (("the end-user documentation included with the redistribution", "apache software foundation", "endorse"), "apache-1.1", 89),
+)
+
+
 class Rule(NamedTuple):
     keyword: str  #: stands in every text the pattern matches
     pattern: re.Pattern
@@ -248,15 +254,81 @@ class Detection(NamedTuple):
     priority: int
 
 
+STARTS = re.compile(rf"(?<![a-z0-9])(?P<grant>{BSD_GRANT})|(?P<stop>this software is provided)")
+CLAUSE = re.compile(rf"(?P<all>{ENDORSE_ALL})|(?P<name>{ENDORSE_NAME})|(?P<end>{ENDORSE_END})|(?P<stop>\. )")
+
+
+def clause_ends(text: str) -> tuple[list[int], list[int]]:
+    """Where clauses on names begin and end, both in order; of the names in a sentence the last one counts."""
+    starts, ends, name = [], [], None
+    for m in CLAUSE.finditer(text):
+        if m["all"]:
+            starts.append(m.start())
+            ends.append(m.end())
+            name = None
+        elif m["stop"]:
+            name = None
+        elif m["name"]:
+            name = m.start()
+        elif name is not None:
+            starts.append(name)
+            ends.append(m.end())
+            name = None
+    return starts, ends
+
+
+def conditions(text: str) -> Iterator[tuple[int, int, str, int]]:
+    """(start, end, label, priority) of grants of the BSD kind with the conditions that follow them.
+
+    A grant's conditions reach to the next grant or to the disclaimer, however far that is;
+    each text between is searched once for each licence.
+    """
+    if BSD_KEYWORD not in text:
+        return
+    marks = list(STARTS.finditer(text))
+    starts, ends = clause_ends(text)
+    for i, m in enumerate(marks):
+        if not m["grant"]:
+            continue
+        stop = marks[i + 1].start() if i + 1 < len(marks) else len(text)
+        for phrases, label, priority in CONDITIONS:
+            at = m.end()
+            for phrase in phrases:
+                if phrase == "endorse":
+                    k = bisect_left(starts, at)
+                    found = ends[k] if k < len(starts) and ends[k] <= stop else -1
+                else:
+                    found = text.find(phrase, at, stop)
+                    found = found + len(phrase) if found >= 0 else -1
+                at = found
+                if at < 0:
+                    break
+            if at >= 0:
+                yield m.start(), at, label, priority
+
+
 def settled(found: list[Detection]) -> list[Detection]:
     """Detections by priority; one inside a stretch already taken by a better one is left out.
 
-    Ties go to the longer stretch, then the earlier one, then the label that sorts first.
+    Ties go to the longer stretch, then the earlier one, then the label that sorts first. A
+    tree over the starts holds the furthest end before each, so n detections take n log n.
     """
+    order = sorted(set(found), key=lambda d: (-d.priority, d.start - d.end, d.start, d.label))
+    places = {start: i + 1 for i, start in enumerate(sorted({d.start for d in order}))}
+    furthest = [-1] * (len(places) + 1)
     kept: list[Detection] = []
-    for d in sorted(set(found), key=lambda d: (-d.priority, d.start - d.end, d.start, d.label)):
-        if not any(k.start <= d.start and d.end <= k.end for k in kept):
-            kept.append(d)
+    for d in order:
+        i, end = places[d.start], -1
+        while i > 0:
+            end = max(end, furthest[i])
+            i -= i & -i
+        if end >= d.end:
+            continue
+        kept.append(d)
+        i = places[d.start]
+        while i < len(furthest):
+            furthest[i] = max(furthest[i], d.end)
+            i += i & -i
     return sorted(kept)
 
 
@@ -281,6 +353,8 @@ class Scanner:
             for m in rule.pattern.finditer(folded.text):
                 if not folded.is_number_apart(m):
                     found.append(Detection(folded.origin(m.start()), folded.origin(m.end() - 1) + 1, rule.label, rule.priority))
+        for start, end, label, priority in conditions(folded.text):
+            found.append(Detection(folded.origin(start), folded.origin(end - 1) + 1, label, priority))
         return settled(found)
 
 
@@ -320,8 +394,9 @@ def scan(docs: DataFrame) -> DataFrame:
     Returns doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score and
     detections (code-point spans with label and priority, after overlaps are settled). A null
     or empty text has no words, no places, empty labels and score 0; rows stand for
-    themselves, so repeated ones give repeated results; other columns are not read. A label
-    that a base phrase gave always stays. The rules read runs of white space, and line breaks
+    themselves, so repeated ones give repeated results; an empty table gives no rows; other
+    columns are not read. A label that a base phrase gave always stays. A text of any length
+    is scanned whole. The rules read runs of white space, and line breaks
     with the comment marks around them, as one space.
     """
 
