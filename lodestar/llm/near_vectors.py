@@ -176,17 +176,22 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     is at least ``cosine`` (above 0). Null, zero and non-finite vectors, and rows without a vec_id,
     link with nothing.
     Rows of one label and unit vector are joined as one, with their number. Vectors of
-    different lengths are never linked. Rows that share a vec_id count as one
-    vector with the links of all of them. An empty table gives no rows; other columns are not read.
+    different lengths are never linked. Repeated rows are one vector and have its result each;
+    rows that share a vec_id but not label and direction are vectors of their own, with links
+    of their own, in one component. An empty table gives no rows; other columns are not read.
     """
     given = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "label", F.col("embedding").cast("array<double>").alias("embedding"))
     units = settle(unit_vectors(given), "vectors")
     able = units.filter("label IS NOT NULL AND unit IS NOT NULL AND vec_id IS NOT NULL")
-    reps = able.groupBy("label", "unit").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
+    reps = able.groupBy("label", "unit").agg(F.min("vec_id").alias("rep"), F.countDistinct("vec_id").alias("copies"))
     reps = settle(reps.withColumn("width", F.length("unit")), "vector-reps")
     found = settle(links(settle(cells(reps, cosine), "vector-cells"), cosine), "vector-links")
     counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    group = components(found.filter("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b")))
+    tied = able.join(reps.select("label", "unit", "rep"), ["label", "unit"]).filter("vec_id <> rep").select(F.col("vec_id").alias("a"), F.col("rep").alias("b"))
+    named = reps.select(F.col("rep").alias("vec_id")).unionByName(tied.select(F.col("a").alias("vec_id"))).groupBy("vec_id").agg(F.count("*").alias("n")).filter("n > 1")
+    # an id of several vectors ties their components; others need no row
+    ties = tied.join(named.select(F.col("vec_id").alias("a")), "a", "left_semi")
+    group = components(found.filter("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b")).unionByName(ties))
     classes = (
         reps.join(counts, "rep", "left")
         .join(group.withColumnRenamed("node", "rep"), "rep", "left")
