@@ -82,49 +82,61 @@ def target_weights(sources: DataFrame, step: int, budget: int | None = None) ->
 def realise(docs: DataFrame, weights: DataFrame, seed: str = SEED, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """The documents that the budgets buy, as many times as they buy them.
 
-    Every pass over a source takes its documents in the order of a seeded hash of the id and
-    the pass stops at the source's budget: full passes come first, the last takes the leading
-    documents up to the one that reaches the budget. A copy's block is where its running
-    token count stands in units of the source's part of a block, so each block holds the
-    sources in their weights.
-
-    Running counts are taken in about sqrt(n) parts of a source and added up over the parts,
+    Every pass over a source takes its documents in an order of its own, that of a seeded hash
+    of pass and id, and the pass stops at the source's budget: full passes come first, the
+    last takes the leading documents up to the one that reaches the budget. A copy's block is
+    where its running token count stands in units of the source's part of a block, so each
+    block holds the sources in their weights; within the block ``place``, another seeded hash,
+    orders the copies of all sources at random.
+
+    Running counts are taken in about sqrt(n) parts of a pass and added up over the parts,
     so no task holds a whole source. Expects doc_id, source, n_tokens; returns them with
-    copy (from 0) and block.
+    copy (from 0), block and place.
     """
-    key = F.md5(F.concat_ws("/", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    keyed = docs.withColumn("key", key).withColumn("slot", F.conv(F.substring("key", 1, 7), 16, 10).cast("long"))
     sizes = docs.groupBy("source").agg(F.count("*").alias("n"))
     parts = weights.join(sizes.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).select(
         F.col("source").alias("of"), "tokens", "weight", "budget", F.ceil(F.sqrt("n")).cast("long").alias("parts")
     )
-    placed = keyed.join(parts, F.col("source").eqNullSafe(F.col("of"))).withColumn("part", F.expr("slot * parts div 268435456"))
-    sums = placed.groupBy("of", "part").agg(F.sum("n_tokens").alias("in_part"))
-    before = Window.partitionBy("of").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select(F.col("of").alias("of2"), F.col("part").alias("part2"), F.coalesce(F.sum("in_part").over(before), F.lit(0)).alias("offset"))
-    within = Window.partitionBy("of", "part").orderBy("key", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, -1)
+    passes = F.explode(F.sequence(F.lit(0).cast("long"), F.expr("budget div tokens"))).alias("copy")
+    dealt = docs.join(parts, F.col("source").eqNullSafe(F.col("of"))).select("*", passes)
+    keyed = dealt.withColumn("key", seeded(seed)).withColumn("slot", F.conv(F.substring("key", 1, 7), 16, 10).cast("long"))
+    placed = keyed.withColumn("part", F.expr("slot * parts div 268435456"))
+    sums = placed.groupBy("of", "copy", "part").agg(F.sum("n_tokens").alias("in_part"))
+    before = Window.partitionBy("of", "copy").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select(
+        F.col("of").alias("of2"), F.col("copy").alias("copy2"), F.col("part").alias("part2"), F.coalesce(F.sum("in_part").over(before), F.lit(0)).alias("offset")
+    )
+    within = Window.partitionBy("of", "copy", "part").orderBy("key", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, -1)
     running = placed.withColumn("ahead", F.coalesce(F.sum("n_tokens").over(within), F.lit(0)))
-    running = running.join(offsets, F.col("of").eqNullSafe(F.col("of2")) & (F.col("part") == F.col("part2"))).withColumn("at", F.col("ahead") + F.col("offset"))
+    same = F.col("of").eqNullSafe(F.col("of2")) & (F.col("copy") == F.col("copy2")) & (F.col("part") == F.col("part2"))
     # copy i stands at i * tokens + at and is bought if that lies below the budget
-    copies = F.when(F.col("budget") > F.col("at"), F.expr("(budget - at + tokens - 1) div tokens")).otherwise(F.lit(0))
-    bought = running.filter(copies > 0).withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), copies - 1)))
-    block = F.floor((F.col("copy") * F.col("tokens") + F.col("at")) / (F.col("weight") * F.lit(block_tokens))).cast("long")
-    return bought.select(*docs.columns, "copy", block.alias("block"))
+    at = F.col("copy") * F.col("tokens") + F.col("ahead") + F.col("offset")
+    bought = running.join(offsets, same).withColumn("at", at).filter("at < budget")
+    block = F.floor(F.col("at") / (F.col("weight") * F.lit(block_tokens))).cast("long")
+    place = F.conv(F.substring(seeded(f"{seed}/place"), 1, 15), 16, 10).cast("long")
+    return bought.select(*docs.columns, "copy", block.alias("block"), place.alias("place"))
+
+
+def seeded(seed: str) -> Column:
+    """A hash of the seed, a pass and an id."""
+    return F.md5(F.concat_ws("/", F.lit(seed), F.col("copy").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
 
 
 def mix(docs: DataFrame, target: float = TARGET_ENTROPY, most_passes: float = MOST_PASSES, budget: int | None = None) -> DataFrame:
-    """doc_id, source, n_tokens, copy and block of every copy in the mixed corpus.
+    """doc_id, source, n_tokens, copy, block and place of every copy in the mixed corpus.
 
-    Null sources are one source; null ids come first within it; documents without a token
-    cost nothing and are taken whenever the order reaches them; a table without tokens gives
-    no rows. Repeated rows are documents of their own.
+    Null sources are one source. Documents without a token cost nothing and are taken
+    whenever the order reaches them, but a source without any token has no weight and goes
+    with all its documents; so a table without tokens, or without rows, gives no rows.
+    Repeated rows are documents of their own; ties of the hash go by id, then tokens. Other
+    columns are not read.
     """
     narrow = docs.select("doc_id", "source", token_count(F.col("text")).alias("n_tokens"))
     narrow = settle(narrow, "mix-docs")
     sources = settle(source_totals(narrow), "mix-sources")
     first = sources.agg(F.max("all_tokens")).first()[0]
     if first is None:
-        return narrow.filter(F.lit(False)).withColumns({"copy": F.lit(0).cast("long"), "block": F.lit(0).cast("long")})
+        return narrow.filter(F.lit(False)).withColumns({c: F.lit(0).cast("long") for c in ("copy", "block", "place")})
     step = exponent(sources, target, most_passes, 1.0 if budget is None else budget / first)
     return realise(narrow, target_weights(sources, step, budget))
 
@@ -159,12 +171,16 @@ WITH sized AS (
   SELECT coalesce(min(s.k), {STEPS}) AS k FROM steps s, reached r WHERE s.k >= r.k AND s.passes <= {MOST_PASSES} + 1e-9
 ), weights AS (
   SELECT source, tokens, all_tokens, round(pow(share, k / {STEPS}.0) / sum(pow(share, k / {STEPS}.0)) OVER (), 12) AS weight FROM shares, chosen
-), placed AS (
+), passes AS (
   SELECT d.doc_id, d.source, d.n_tokens, w.tokens, w.weight, CAST(floor(w.weight * w.all_tokens) AS BIGINT) AS budget,
-         coalesce(sum(d.n_tokens) OVER (PARTITION BY d.source ORDER BY md5('{SEED}/' || coalesce(CAST(d.doc_id AS VARCHAR), '')), d.doc_id, d.n_tokens
-                                        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead
+         unnest(range(CAST(floor(w.weight * w.all_tokens) AS BIGINT) // CAST(w.tokens AS BIGINT) + 1)) AS copy
   FROM sized d JOIN weights w ON d.source IS NOT DISTINCT FROM w.source
+), placed AS (
+  SELECT *, copy * tokens + coalesce(sum(n_tokens) OVER (PARTITION BY source, copy
+    ORDER BY md5('{SEED}/' || copy || '/' || coalesce(CAST(doc_id AS VARCHAR), '')), doc_id, n_tokens
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS stands FROM passes
 )
-SELECT doc_id, source, n_tokens, copy, CAST(floor((copy * tokens + ahead) / (weight * {BLOCK_TOKENS})) AS BIGINT) AS block
-FROM (SELECT *, unnest(range(CAST((budget - ahead + tokens - 1) // tokens AS BIGINT))) AS copy FROM placed WHERE budget > ahead)
+SELECT doc_id, source, n_tokens, copy, CAST(floor(stands / (weight * {BLOCK_TOKENS})) AS BIGINT) AS block,
+  CAST('0x' || substr(md5('{SEED}/place/' || copy || '/' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS place
+FROM placed WHERE stands < budget
 """
