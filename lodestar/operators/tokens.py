@@ -3,8 +3,8 @@
 A regular expression cuts each file into tokens on the JVM; window functions over the
 tokens of a file give line numbers, nesting depth and neighbours, from which the facts
 are read with ordinary filters and aggregates. The text is repartitioned by file once,
-before it is exploded, so the much larger token table is never shuffled. A file is at
-most 1.5 MB, which bounds every window.
+before it is exploded, so the much larger token table is never shuffled. The windows hold
+a file; its size has no bound but the one that the listing of files was given.
 """
 
 from __future__ import annotations
@@ -149,5 +149,28 @@ def with_blocks(tokens: DataFrame, keys=()) -> DataFrame:
     )
 
 
+def innermost(points: DataFrame, spans: DataFrame, on_file: list, values: dict, start_in=False, end_in=False) -> DataFrame:
+    """``points(on_file, i)`` with ``values`` (name: column of ``spans``) of the innermost span around each, else null.
+
+    ``spans(on_file, start_i, end_i)`` lie within each other or apart, like brackets; so where
+    they open and close gives each place its depth, and the span around a place is the last
+    one that opened at this depth. Two windows over the file take time in proportion to points
+    and spans. ``start_in`` and ``end_in`` say whether a point on a span's end lies in it.
+    """
+    carried = F.struct(*[F.col(c).alias(name) for name, c in values.items()])
+    none = F.lit(None).cast(spans.select(carried.alias("s")).schema["s"].dataType)
+    opens = spans.select(*on_file, F.col("start_i").alias("i"), F.lit(1 if start_in else 3).alias("turn"), F.lit(1).alias("step"), (-F.col("end_i")).alias("wide"), carried.alias("span"))
+    closes = spans.select(*on_file, F.col("end_i").alias("i"), F.lit(4 if end_in else 0).alias("turn"), F.lit(-1).alias("step"), F.lit(0).cast("long").alias("wide"), none.alias("span"))
+    asked = points.select(*on_file, "i").distinct().select(*on_file, "i", F.lit(2).alias("turn"), F.lit(0).alias("step"), F.lit(0).cast("long").alias("wide"), none.alias("span"))
+    order = ("i", "turn", "wide")
+    upto = Window.partitionBy(*on_file).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    level = Window.partitionBy(*on_file, "_deep").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    deep = opens.unionByName(closes).unionByName(asked).withColumn("_deep", F.sum("step").over(upto))
+    # a closing row stands at the depth outside, where it must not hide what is open there
+    found = deep.withColumn("_in", F.last(F.when(F.col("step") == 1, F.col("span")), True).over(level))
+    inside = F.when(F.col("_deep") > 0, F.col("_in"))
+    return found.filter(F.col("turn") == 2).select(*on_file, "i", *[inside[name].alias(name) for name in values])
+
+
 def node_text(content: Column, start: Column, end: Column) -> Column:
     return F.substring(content, start + 1, end - start)

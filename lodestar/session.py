@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -67,6 +68,16 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def file_state(*sources: DataFrame) -> tuple:
+    """Number and hash of path, size and time of the files that ``sources`` read; their contents stay unread."""
+    files = sorted({unquote(f) for source in sources for f in source.inputFiles()})
+    if not files:
+        return (0, None)
+    listed = sources[0].sparkSession.read.format("binaryFile").load(files).select("path", "length", "modificationTime")
+    mark = F.xxhash64("path", "length", "modificationTime").cast("decimal(38,0)")
+    return tuple(listed.agg(F.count("*"), F.sum(mark)).first())
+
+
 _STAGES: dict = {}
 
 
@@ -77,12 +88,7 @@ def stage(name: str, sources: list[DataFrame], build):
     new build, so a result is never older than the data it is made from.
     """
     spark = sources[0].sparkSession
-    files = F.xxhash64("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time")
-    state = [name, spark.sparkContext.applicationId]
-    for source in sources:
-        seen = source.select(files.alias("file")).distinct().agg(F.count("*"), F.sum(F.col("file").cast("decimal(38,0)")))
-        state += [*source.inputFiles()[:1], *seen.first()]
-    key = tuple(map(str, state))
+    key = (name, spark.sparkContext.applicationId, *file_state(*sources))
     if key not in _STAGES:
         _STAGES[key] = build()
     return _STAGES[key]
