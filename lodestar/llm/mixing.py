@@ -146,12 +146,19 @@ def mixed_documents(docs: DataFrame, **limits) -> DataFrame:
 
     Rows that share doc_id and source share their copies as evenly as they can.
     """
-    bought = mix(docs, **limits).groupBy(F.col("doc_id").alias("id_"), F.col("source").alias("source_")).agg(F.count("*").alias("copies_"))
-    both = docs.join(bought, F.col("doc_id").eqNullSafe(F.col("id_")) & F.col("source").eqNullSafe(F.col("source_")))
-    same = Window.partitionBy("id_", "source_")
-    both = both.withColumn("rows_", F.count("*").over(same)).withColumn("row_", F.row_number().over(same.orderBy(F.xxhash64("text"))))
-    own = F.expr("(copies_ + rows_ - row_) div rows_")
-    return both.filter(own > 0).withColumn("copy_", F.explode(F.sequence(F.lit(1).cast("long"), own))).select(*docs.columns)
+    id_, source_, copies_, rows_, row_, copy_ = own_names(docs, "id", "source", "copies", "rows", "row", "copy")
+    bought = mix(docs, **limits).groupBy(F.col("doc_id").alias(id_), F.col("source").alias(source_)).agg(F.count("*").alias(copies_))
+    both = docs.join(bought, F.col("doc_id").eqNullSafe(F.col(id_)) & F.col("source").eqNullSafe(F.col(source_)))
+    same = Window.partitionBy(id_, source_)
+    both = both.withColumn(rows_, F.count("*").over(same)).withColumn(row_, F.row_number().over(same.orderBy(F.xxhash64("text"))))
+    own = F.expr(f"({copies_} + {rows_} - {row_}) div {rows_}")
+    return both.filter(own > 0).withColumn(copy_, F.explode(F.sequence(F.lit(1).cast("long"), own))).select(*docs.columns)
+
+
+def own_names(frame: DataFrame, *names: str) -> list[str]:
+    """``names`` with more underscores after them than any column of ``frame`` has."""
+    mark = "_" * (1 + max((len(c) - len(c.rstrip("_")) for c in frame.columns), default=0))
+    return [name + mark for name in names]
 
 
 MIX_SQL = f"""
