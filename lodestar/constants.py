@@ -31,8 +31,6 @@ KIND_PRIORITY = {
 # Limits and budgets.
 MAX_AMBIGUOUS_FANOUT = 3
 MAX_FILE_BYTES = 1_500_000
-MAX_FILES_PER_COMMIT = 400
-MAX_PACKAGE_SIZE = 200
 PPR_RESTART = 0.15
 PPR_SWEEPS = 12
 PPR_EPSILON = 1e-6
@@ -69,10 +67,7 @@ LANG_BY_EXTENSION = {
 }
 
 # Paths that hold tests, for patch filtering.
-TEST_PATH_PATTERN = (
-    r"(^|/)(tests?|__tests__|testdata|spec)/|(_test\.\w+$)"
-    r"|(\.(test|spec)\.[cm]?[jt]sx?$)|(Test[A-Z]\w*\.java$)|(\w+Test\.java$)"
-)
+TEST_PATH_PATTERN = r"(^|/)(tests?|__tests__|testdata|spec)/|(_test\.\w+$)|(\.(test|spec)\.[cm]?[jt]sx?$)|(Test[A-Z]\w*\.java$)|(\w+Test\.java$)"
 
 # The ranking strategies that are scored, and what each fuses.
 BASE_STRATEGIES = ("graph", "graph-bfs", "dependents", "directory", "cochange", "packages")

@@ -38,10 +38,15 @@ def condense_compiler_output(output, limit: int = 3000) -> Column:
     return _cut(body, limit)
 
 
+# What stands for an empty log, and at the end of a cut one.
+ALL_PASSED = "tests passed"
+TRIMMED = "\n… [output trimmed]"
+
+
 def condense_test_output(output, ok, limit: int = 4000) -> Column:
     tail = lines(F.btrim(_c(output), F.lit(" \t\n\r")))
     last = F.array_join(F.slice(tail, F.greatest(F.size(tail) - 7, F.lit(1)), F.lit(8)), "\n")
-    passed = F.when(last == "", F.lit("tests passed")).otherwise(last)
+    passed = F.when(last == "", F.lit(ALL_PASSED)).otherwise(last)
     every = lines(output)
     hits = F.filter(every, lambda line: line.rlike(INTERESTING_PATTERN))
     body = F.array_join(F.when(F.size(hits) > 0, hits).otherwise(every), "\n")
@@ -49,7 +54,7 @@ def condense_test_output(output, ok, limit: int = 4000) -> Column:
 
 
 def _cut(body: Column, limit: int) -> Column:
-    return F.when(F.length(body) > limit, F.concat(F.left(body, F.lit(limit)), F.lit("\n… [output trimmed]"))).otherwise(body)
+    return F.when(F.length(body) > limit, F.concat(F.left(body, F.lit(limit)), F.lit(TRIMMED))).otherwise(body)
 
 
 def paths_mentioned(texts: DataFrame, known: DataFrame, key: str, text: str = "text") -> DataFrame:

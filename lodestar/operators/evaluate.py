@@ -7,9 +7,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.constants import EVAL_KS, MAX_FILE_BYTES, MAX_FILES_PER_COMMIT, MAX_PACKAGE_SIZE, STRATEGIES
-from lodestar.operators import cochange, filegraph, fusion, locality, traverse, walk
-from lodestar.operators.ranking import comparable, top_ranked
+from lodestar.constants import EVAL_KS, MAX_FILE_BYTES, STRATEGIES
+from lodestar.operators import cochange, fusion, locality, traverse, walk
+from lodestar.operators.ranking import comparable
 from lodestar.session import settle
 
 
@@ -66,6 +66,7 @@ def base_rankings(
     reached: DataFrame,
     limit: int,
     keys=("repo",),
+    max_package: int | None = None,
 ) -> DataFrame:
     """The six base signals in long form, each computed once for all anchors."""
     keys = list(keys)
@@ -75,7 +76,7 @@ def base_rankings(
         "dependents": walk.ppr_ranked(file_edges, anchors, limit, keys, backward_only=True),
         "graph-bfs": traverse.bfs_ranked(reached, limit, keys),
         "cochange": cochange.co_change_ranked(history, anchors, limit),
-        "packages": locality.package_mates(files, anchors, limit, keys, MAX_PACKAGE_SIZE),
+        "packages": locality.package_mates(files, anchors, limit, keys, max_package),
         "directory": locality.directory_ranked(files, anchors, limit, keys),
     }
     out = None
@@ -196,6 +197,8 @@ def evaluate(
     keys=("repo",),
     ks=EVAL_KS,
     limit: int | None = None,
+    max_files: int | None = None,
+    max_package: int | None = None,
 ):
     """Rank every anchor with every strategy and score it. Returns
     ``(scores per instance and strategy, closure scores per instance, gold)``.
@@ -203,6 +206,7 @@ def evaluate(
     Rankings go as deep as the largest k or, for larger change sets, the number of
     targets; the deepest such limit is one aggregated number. Each anchor's list is then
     cut to its own limit before fusion, as fusion only sees what each signal returned.
+    ``max_files`` and ``max_package`` leave out larger commits and packages; none are by default.
     """
     keys = list(keys)
     gold = split_gold(gold_files, files, sizes, keys)
@@ -211,8 +215,8 @@ def evaluate(
     deepest = max(top, anchors.agg(F.max("n_targets")).first()[0] or 0)
     edges = settle(file_edges, "file_edges")
     reached = settle(traverse.reach(edges, anchors, keys), "reach")
-    history = cochange.build_co_change(commit_files, keys, max_files=MAX_FILES_PER_COMMIT)
-    base = base_rankings(edges, files, history, anchors, reached, deepest, keys)
+    history = cochange.build_co_change(commit_files, keys, max_files=max_files)
+    base = base_rankings(edges, files, history, anchors, reached, deepest, keys, max_package)
     own_limit = anchors.select(*keys, "anchor", F.greatest(F.lit(top), "n_targets").alias("own_limit"))
     base = settle(
         base.join(own_limit, [*keys, "anchor"]).filter(F.col("rank") <= F.col("own_limit")).drop("own_limit"), "base"
@@ -222,8 +226,3 @@ def evaluate(
     scores = score_rankings(ranked, gold, anchors, keys, ks)
     return scores, closure_scores(reached, gold, anchors, files, keys), gold
 
-
-__all__ = [
-    "Gold", "ablation", "anchors_of", "base_rankings", "closure_scores", "evaluate", "filegraph",
-    "miss_reasons", "score_rankings", "split_gold", "summarise", "top_ranked",
-]

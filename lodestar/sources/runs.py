@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestar.operators.pricing import PRICE_SCHEMA
 from lodestar.operators.telemetry import TRACE_SCHEMA
+from lodestar.sources.dataset import read_lines
 
 TRACE_FIELDS = {
     "runId": "run_id", "testBaseline": "test_baseline", "latencyMs": "latency_ms", "inputTokens": "input_tokens",
@@ -71,8 +72,13 @@ def read_metrics(spark: SparkSession, root: str, schema: str) -> DataFrame:
 
 
 def read_progress(spark: SparkSession, path: str, schema: str, key: str = "instance_id") -> DataFrame:
-    """Finished instances; a line cut short by a crash is skipped."""
-    rows = spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
+    """Finished instances; a line cut short by a crash is skipped.
+
+    A record with a field of another type keeps its other fields; that one is null.
+    """
+    records = read_lines(spark, path).filter(F.col("record").isNotNull())
+    fields = spark.createDataFrame([], schema).schema
+    rows = records.select(*(F.try_variant_get("record", f"$.{f.name}", f.dataType.simpleString()).alias(f.name) for f in fields))
     return rows.filter(F.col(key).isNotNull())
 
 

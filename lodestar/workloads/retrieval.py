@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodestar.constants import CONFIDENCE_FACTOR, MAX_FILES_PER_COMMIT, MAX_PACKAGE_SIZE, PROPAGATION, STRATEGIES, lookup_sql
+from lodestar.constants import CONFIDENCE_FACTOR, PROPAGATION, STRATEGIES, lookup_sql
 from lodestar.operators import cochange, evaluate, filegraph, fusion, locality, traverse, walk
 from lodestar.session import register_tables, settle
 from lodestar.workloads.registry import workload
@@ -101,7 +101,7 @@ def _ranked(source, order, limit="20"):
 BY_SCORE = f"round(score, 10) DESC, {KEY.format('file')}, file"
 DIR = "CASE WHEN {0} LIKE '%/%' THEN regexp_replace({0}, '/[^/]*$', '') ELSE '.' END"
 COCHANGE = """
-sizes AS (SELECT repo, commit_id, 1 / ln(1 + count(*)) AS w FROM history GROUP BY repo, commit_id HAVING count(*) BETWEEN 2 AND 400),
+sizes AS (SELECT repo, commit_id, 1 / ln(1 + count(*)) AS w FROM history GROUP BY repo, commit_id HAVING count(*) >= 2),
 used AS (SELECT h.repo, h.commit_id, h.file, s.w FROM history h JOIN sizes s USING (repo, commit_id)),
 own AS (SELECT repo, file, sum(w) AS own FROM used GROUP BY repo, file),
 total AS (SELECT repo, sum(w) AS total FROM sizes GROUP BY repo),
@@ -121,7 +121,7 @@ dirscore AS (SELECT repo, anchor, file, score FROM (
   JOIN located f ON f.repo = a.repo AND f.file <> a.anchor) t WHERE score > 0),
 psize AS (SELECT repo, package, count(*) AS n FROM located GROUP BY repo, package),
 mates AS (SELECT a.repo, a.anchor, f.file FROM anchors a JOIN located h ON h.repo = a.repo AND h.file = a.anchor
-  JOIN psize s ON s.repo = h.repo AND s.package = h.package AND s.n <= 200
+  JOIN psize s ON s.repo = h.repo AND s.package = h.package
   JOIN located f ON f.repo = h.repo AND f.package = h.package AND f.file <> a.anchor)"""
 
 ALL = f"""RECURSIVE_MARK {FILE_GRAPH}, {BACK}, {PPR}, {DEP}, {REACH}, {COCHANGE}, {LOCAL},
@@ -248,7 +248,7 @@ def directory_ranked(spark, sf_dir):
 )
 def package_mates(spark, sf_dir):
     r = anchored(spark, sf_dir)
-    return locality.package_mates(r["files"], r["anchors"], 5, ["repo"], MAX_PACKAGE_SIZE)
+    return locality.package_mates(r["files"], r["anchors"], 5, ["repo"])
 
 
 @workload(
@@ -261,7 +261,7 @@ def package_mates(spark, sf_dir):
 def related_files(spark, sf_dir):
     r = anchored(spark, sf_dir)
     graph = walk.ppr_ranked(r["file_edges"], r["anchors"], 5, ["repo"])
-    together = cochange.co_change_ranked(cochange.build_co_change(r["history"], ["repo"], max_files=MAX_FILES_PER_COMMIT), r["anchors"], 5)
+    together = cochange.co_change_ranked(cochange.build_co_change(r["history"], ["repo"]), r["anchors"], 5)
     columns = ["repo", "anchor", "file", "rank"]
     return fusion.fuse(graph.select(*columns).unionByName(together.select(*columns)), 5, ["repo"]).select(*columns)
 
