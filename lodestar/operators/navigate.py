@@ -366,6 +366,19 @@ def outline_heads(graph: Graph, imports: DataFrame, shown: int = 12) -> DataFram
     return joined.select(*keys, "file", head.alias("header"), F.concat(F.lit("  imports: "), "specs", more).alias("imports"))
 
 
+def outlines(graph: Graph, imports: DataFrame) -> DataFrame:
+    """``(keys, file, outline)``: header, imports and one line for each symbol, as one text.
+
+    The lines of a file are gathered; they are as many as its symbols.
+    """
+    keys = list(graph.keys)
+    lines = outline_lines(graph).groupBy(*keys, "file").agg(
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", "text"))), lambda x: x["text"]), "\n").alias("lines")
+    )
+    heads = outline_heads(graph, imports)
+    return heads.join(lines, [*keys, "file"]).select(*keys, "file", F.concat_ws("\n", "header", "imports", "lines").alias("outline"))
+
+
 def envelopes(graph: Graph, anchors: DataFrame | None = None) -> DataFrame:
     """Nodes one hop around a symbol: at most 12 callees, 12 non-test callers, 6 tests."""
     keys = list(graph.keys)

@@ -173,6 +173,21 @@ def test_trim_replaces_oldest_results_until_it_fits(spark):
     assert ledger.trim_outcome(ledger.trim_context(messages, ceiling=9000)).first()["trimmed"] == 0
 
 
+def test_a_trimmed_read_leaves_its_outline(spark):
+    reads = ["a.ts (48 lines)", "a.ts (lines 3-9 of 48)", "b.ts (7 lines)", "a.ts (48 lines) and more", "Edited a.ts (48 lines)"]
+    messages = [("c", 0, "system", "s"), ("c", 1, "user", "u")] + [("c", 2 + i, "tool", head + "\n" + "x" * 2000) for i, head in enumerate(reads)] + [("c", 7, "user", "end")]
+    frame = spark.createDataFrame(messages, "run_id string, idx int, role string, content string")
+    outlines = spark.createDataFrame([("a.ts", "a.ts (48 lines)\n  1  function f"), ("z.ts", "never")], "file string, outline string")
+    got = {r["idx"]: r["content_after"] for r in ledger.trim_context(frame, ceiling=700, keep_recent=1, outlines=outlines).filter("trimmed").collect()}
+    kept = "[earlier read of a.ts trimmed to its structure to save context; re-read it or use read_symbol for a specific part]\na.ts (48 lines)\n  1  function f"
+    assert got[2] == got[3] == kept
+    assert got[4].startswith("[earlier tool result trimmed") and got[5].startswith("[earlier tool result trimmed") and 6 not in got
+    # an outline longer than what it replaces sets the conversation back, and trimming goes on
+    long = spark.createDataFrame([("a.ts", "y" * 9000)], "file string, outline string")
+    more = ledger.trim_context(frame, ceiling=700, keep_recent=1, outlines=long).filter("trimmed").count()
+    assert more == 4
+
+
 # -- telemetry --------------------------------------------------------------------------
 
 START = {"type": "run_start", "runId": "r", "task": "t", "repo": "x", "graph": True, "provider": "mock", "model": "mock-model", "ts": 0}
