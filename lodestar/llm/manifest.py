@@ -18,8 +18,6 @@ from lodestar.session import settle
 #: Nodes that make a run, and levels from one stored level up to the next.
 ARITY = 3
 KEPT_EVERY = 5
-#: Stored nodes below one stored node.
-BLOCK = ARITY**KEPT_EVERY
 #: The steps from a node to a root: at each level the digests left and right of it in its run.
 STEPS = "array<struct<before: array<string>, after: array<string>>>"
 TEXTS = pa.list_(pa.string())
@@ -77,36 +75,40 @@ def placed(rows: DataFrame, *order: str) -> DataFrame:
     return ranged.join(parts, ["tree", "range_"]).select(*rows.columns, (F.col("before_") + F.col("row_") - F.col("first_")).alias("place"), "size")
 
 
-def climb(nodes: list[str], size: int) -> list[list[str]]:
+def climb(nodes: list[str], size: int, every: int) -> list[list[str]]:
     """The levels of an aligned subtree from its lowest, until the next stored level or the tree's root."""
     levels = [nodes]
-    while len(levels) <= KEPT_EVERY and size > 1:
+    while len(levels) <= every and size > 1:
         below = levels[-1]
         levels.append([digest(below[i : i + ARITY]) for i in range(0, len(below), ARITY)])
         size = -(-size // ARITY)
     return levels
 
 
-def parents(nodes: DataFrame) -> DataFrame:
+def block_of(every: int) -> Column:
+    """The place of the stored node above a stored node."""
+    return F.floor(F.col("place") / ARITY**every).cast("long").alias("block")
+
+
+def parents(nodes: DataFrame, every: int) -> DataFrame:
     """tree, place, size, digest of the next stored level of trees that have more than a root here."""
 
     def run(key, table):
         table = table.sort_by("place")
         size = table["size"][0].as_py()
-        levels = climb(table["digest"].to_pylist(), size)
+        levels = climb(table["digest"].to_pylist(), size, every)
         for _ in levels[1:]:
             size = -(-size // ARITY)
         return pa.table({"tree": [key[0].as_py()], "place": [key[1].as_py()], "size": [size], "digest": levels[-1]}, schema=pa.schema([("tree", pa.string()), ("place", pa.int64()), ("size", pa.int64()), ("digest", pa.string())]))
 
-    block = F.floor(F.col("place") / BLOCK).cast("long").alias("block")
-    several = nodes.filter("size > 1").select("tree", "place", "size", "digest", block)
+    several = nodes.filter("size > 1").select("tree", "place", "size", "digest", block_of(every))
     return several.groupBy("tree", "block").applyInArrow(run, "tree string, place long, size long, digest string")
 
 
-def stored_levels(lowest: DataFrame) -> list[DataFrame]:
+def stored_levels(lowest: DataFrame, every: int) -> list[DataFrame]:
     """The stored levels of all trees of ``lowest`` (tree, place, size, digest), each written once."""
     levels = [lowest]
-    while not (above := settle(parents(levels[-1]), "manifest-level")).isEmpty():
+    while not (above := settle(parents(levels[-1], every), "manifest-level")).isEmpty():
         levels.append(above)
     return levels
 
@@ -119,7 +121,7 @@ def roots(levels: list[DataFrame]) -> DataFrame:
     return alone[0]
 
 
-def steps_below(nodes: DataFrame, above: DataFrame) -> DataFrame:
+def steps_below(nodes: DataFrame, above: DataFrame, every: int) -> DataFrame:
     """``nodes`` of a stored level with ``steps`` to the end of the path that their block's root has.
 
     ``above`` (tree, place, steps, subroot) holds the next stored level. A block's interior
@@ -132,7 +134,7 @@ def steps_below(nodes: DataFrame, above: DataFrame) -> DataFrame:
     def run(key, table, upper):
         table = table.drop_columns(["block"]).sort_by("place")
         rest, subroot = upper["steps"][0].as_py(), upper["subroot"][0].as_py()
-        levels = climb(table["digest"].to_pylist(), table["size"][0].as_py())
+        levels = climb(table["digest"].to_pylist(), table["size"][0].as_py(), every)
         paths = []
         for i in range(table.num_rows):
             path = []
@@ -143,13 +145,12 @@ def steps_below(nodes: DataFrame, above: DataFrame) -> DataFrame:
             paths.append(path + rest)
         return table.append_column("steps", pa.array(paths, STEP_KIND)).append_column("subroot", pa.array([subroot] * len(paths), pa.string()))
 
-    block = F.floor(F.col("place") / BLOCK).cast("long")
-    grouped = nodes.select("tree", *extra, block.alias("block")).groupBy("tree", "block")
+    grouped = nodes.select("tree", *extra, block_of(every)).groupBy("tree", "block")
     heads = above.select(F.col("tree").alias("over_tree"), F.col("place").alias("over_block"), "steps", "subroot").groupBy("over_tree", "over_block")
     return grouped.cogroup(heads).applyInArrow(run, f"tree string, {kinds}, steps {STEPS}, subroot string")
 
 
-def proofs(levels: list[DataFrame], tops: DataFrame) -> DataFrame:
+def proofs(levels: list[DataFrame], tops: DataFrame, every: int) -> DataFrame:
     """The lowest level with ``steps`` and ``subroot``, from the end of each tree's path in ``tops``.
 
     ``tops``: tree, steps, subroot. Paths go down level by level: each block gets that of its
@@ -161,7 +162,7 @@ def proofs(levels: list[DataFrame], tops: DataFrame) -> DataFrame:
         over = level.filter("size = 1").select("tree", "place").join(tops, "tree").select("tree", "place", "steps", "subroot")
         if found is not None:
             over = over.unionByName(settle(found.select("tree", "place", "steps", "subroot"), "manifest-paths"))
-        found = steps_below(level, over)
+        found = steps_below(level, over, every)
     return found
 
 
@@ -172,19 +173,23 @@ class Manifest:
     with the columns that came with them; ``upper`` are those of the tree over ``subroots``.
     """
 
-    def __init__(self, leaves: DataFrame, *order: str):
-        """``leaves``: tree, digest and others; ``order`` names the columns that a tree is ordered by."""
-        self.levels = stored_levels(settle(placed(leaves, *order, "digest"), "manifest-leaves"))
+    def __init__(self, leaves: DataFrame, *order: str, every: int = KEPT_EVERY):
+        """``leaves``: tree, digest and others; ``order`` names the columns that a tree is ordered by.
+
+        One level in ``every`` is stored.
+        """
+        self.every = every
+        self.levels = stored_levels(settle(placed(leaves, *order, "digest"), "manifest-leaves"), every)
         self.subroots = settle(roots(self.levels), "manifest-subroots")
         over = placed(self.subroots.select(F.lit("").alias("tree"), F.col("tree").alias("source_tree"), "digest"), "source_tree")
-        self.upper = stored_levels(settle(over, "manifest-sources"))
+        self.upper = stored_levels(settle(over, "manifest-sources"), every)
         self.root = roots(self.upper).select("digest")
 
     def proofs(self) -> DataFrame:
         """Every leaf with its tree's ``subroot`` and its ``steps`` to the root of all."""
         end = self.root.select(F.lit("").alias("tree"), F.expr(f"CAST(array() AS {STEPS})").alias("steps"), F.lit("").alias("subroot"))
-        tops = proofs(self.upper, end).select(F.col("source_tree").alias("tree"), "steps", F.col("digest").alias("subroot"))
-        return proofs(self.levels, settle(tops, "manifest-tops"))
+        tops = proofs(self.upper, end, self.every).select(F.col("source_tree").alias("tree"), "steps", F.col("digest").alias("subroot"))
+        return proofs(self.levels, settle(tops, "manifest-tops"), self.every)
 
 
 def siblings(steps: str) -> Column:
@@ -197,7 +202,7 @@ def folded(start: Column, steps: str) -> Column:
     return F.aggregate(steps, start, lambda node, s: F.sha2(F.concat(F.array_join(s["before"], ""), node, F.array_join(s["after"], "")), 256))
 
 
-def manifest_digests(docs: DataFrame) -> DataFrame:
+def manifest_digests(docs: DataFrame, every: int = KEPT_EVERY) -> DataFrame:
     """doc_id, leaf, subroot, root, proof_sha256, folded_root and verified of every row.
 
     Leaves ascend by doc_id, null first; rows that share an id in a source stand next to each
@@ -206,7 +211,7 @@ def manifest_digests(docs: DataFrame) -> DataFrame:
     has no root and gives no rows; columns beside those of ``documents`` are not read. A row
     without an id is not tampered with.
     """
-    made = Manifest(settle(leaves(docs).withColumnRenamed("leaf", "digest"), "manifest-rows"), "doc_id")
+    made = Manifest(settle(leaves(docs).withColumnRenamed("leaf", "digest"), "manifest-rows"), "doc_id", every=every)
     root = made.root.first()
     found = made.proofs().select(
         "doc_id",

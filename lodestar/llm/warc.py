@@ -311,7 +311,7 @@ def bounded(frame: DataFrame) -> DataFrame:
     return frame
 
 
-def write_archives(pages: DataFrame, date: str = DATE, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
+def write_archives(pages: DataFrame, date: str = DATE, archive_bytes: int = ARCHIVE_BYTES, sample_bytes: int = SAMPLE_BYTES) -> DataFrame:
     """archive (a name), content, records: archives of ``pages`` (page_id, url, html, response).
 
     Every task writes its own archives, each of which has a dictionary fitted on its first
@@ -319,7 +319,7 @@ def write_archives(pages: DataFrame, date: str = DATE, archive_bytes: int = ARCH
     """
 
     def run(batches):
-        task, n, archive = TaskContext.get().partitionId(), 0, Archive()
+        task, n, archive = TaskContext.get().partitionId(), 0, Archive(sample_bytes)
 
         def closed():
             return pa.RecordBatch.from_arrays([pa.array([f"pages-{task:06d}-{n:06d}.warc.zst"]), pa.array([archive.done()], pa.binary()), pa.array([archive.records], pa.int64())], names=["archive", "content", "records"])
@@ -330,7 +330,7 @@ def write_archives(pages: DataFrame, date: str = DATE, archive_bytes: int = ARCH
                 archive.add(record(Page(page_id, url, (html or "").encode(), response), date))
                 if archive.size >= archive_bytes:
                     yield closed()
-                    n, archive = n + 1, Archive()
+                    n, archive = n + 1, Archive(sample_bytes)
         if archive.records:
             yield closed()
 
