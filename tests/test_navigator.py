@@ -5,7 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from lodestar.operators import resolve, validate
+from lodestar.operators import navigate, resolve, validate
 from lodestar.plans import verification
 from lodestar.plans.navigator import Navigator, NullNavigator
 from lodestar.sources.files import read_tree
@@ -179,3 +179,21 @@ def test_typescript_imports(spark, ts):
 def test_without_a_graph(spark):
     nav = NullNavigator(spark)
     assert nav.expand("x").count() == 0 and nav.outline("x") == "" and nav.envelope("x") is None and not nav.enabled
+
+
+def test_strongest_edges_answer_as_all_lines_do(spark, go, ts):
+    for nav in (go, ts):
+        pairs = resolve.resolve(nav.facts, per_line=False)
+        of = ["src", "dst", "kind"]
+        assert pairs.edges.count() == pairs.edges.select(*of).distinct().count() == nav.graph.edges.select(*of).distinct().count()
+        columns = ["anchor", "label", "node", "via", "confidence", "line"]
+        kept, every = (sorted(map(str, navigate.relations(g).select(*columns).collect())) for g in (pairs, nav.graph))
+        assert kept == every and len(every) > 20
+
+
+def test_files_of_a_change_are_those_of_its_whole_surface(spark, go, ts):
+    for nav in (go, ts):
+        changed = nav.graph.files.select(F.col("file").alias("change"), "file", F.lit(0).alias("ord"))
+        surface = navigate.impact(nav.graph, changed, None).select("change", "node_file").union(changed.select("change", "file")).distinct()
+        files = navigate.impact_files(nav.graph, changed)
+        assert sorted(map(tuple, files.collect())) == sorted(map(tuple, surface.collect()))
