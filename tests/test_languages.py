@@ -58,3 +58,15 @@ def test_without_it_such_files_are_left_out(spark):
     assert {r.file for r in index_files(files, ("repo",)).files.collect()} == {"m.go"}
     empty = read_by(toy)(files.limit(0), ["repo"])
     assert set(empty) == set(TABLES) and all(t.count() == 0 for t in empty.values())
+
+
+def test_go_tokens_are_dealt_once(spark, tmp_path):
+    """What is read off the written tokens filters them: no exchange before the first filter or aggregate."""
+    from lodestar.operators.extract_go import extract_go
+
+    files = spark.createDataFrame([("m.go", "package m\n\nfunc (s *S) Run(a int) {\n\tfor k := range a {\n\t\tsolo(k)\n\t}\n}\n")], "file string, content string")
+    facts = extract_go(files)
+    plan = facts["locals"]._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan
+    assert sorted(r["name"] for r in facts["locals"].collect()) == ["a", "k", "s"]
+    assert [(r["name"], r["kind"], r["receiver"]) for r in facts["defs"].collect()] == [("Run", "method", "S")]
