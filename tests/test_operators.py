@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lodestar.functions import logs, patches, paths, text
 from lodestar.operators import cochange, evaluate, filegraph, fusion, fuzzy, ledger, locality, ordered, pricing, search, telemetry, traverse, walk
 from lodestar.plans.report import render_report, verdict
-from lodestar.session import clear, settle, stage
+from lodestar.session import clear, partitions_for, settle, settle_by, stage
 from lodestar.sources import dataset, files as listing, history, runs, sinks
 
 
@@ -115,6 +115,36 @@ def test_directories_against_brute_force(spark):
             assert mine.get(a, []) == want, (a, limit)
 
 
+def test_small_repositories_are_dealt_once(spark):
+    """Dealt by repository, walks, reaches and pairs say the same and shuffle nothing more."""
+    rnd = random.Random(5)
+    lines = sorted({(r, f"f{rnd.randrange(9)}", f"f{rnd.randrange(9)}", rnd.choice([1.0, 0.5])) for r in range(40) for _ in range(20)})
+    edges = spark.createDataFrame([x for x in lines if x[1] != x[2]], "repo BIGINT, src STRING, dst STRING, w DOUBLE")
+    edges = edges.groupBy("repo", "src", "dst").agg(F.max("w").alias("w"))
+    anchors = spark.createDataFrame([(r, f"f{i}") for r in range(0, 40, 2) for i in (1, 2)], "repo BIGINT, anchor STRING")
+    commits = spark.createDataFrame(sorted({(r, rnd.randrange(6), f"f{rnd.randrange(9)}") for r in range(40) for _ in range(20)}), "repo BIGINT, commit_id BIGINT, file STRING")
+    dealt = [settle_by(df, "dealt", ["repo"], 4) for df in (edges, anchors, commits)]
+
+    def answers(edges, anchors, commits, **parts):
+        yield walk.ppr_ranked(edges, anchors, 5, ["repo"], **parts)
+        yield traverse.bfs_ranked(traverse.reach(edges, anchors, ["repo"], **parts), 5, ["repo"])
+        yield cochange.co_change_ranked(cochange.build_co_change(commits, ["repo"], **parts), anchors, 5)
+
+    for plain, apart in zip(answers(edges, anchors, commits), answers(*dealt, parts=4), strict=True):
+        columns = ["repo", "anchor", "file", "rank"]
+        assert sorted(map(tuple, plain.select(*columns).collect())) == sorted(map(tuple, apart.select(*columns).collect()))
+        plan = apart._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple"))
+        assert "Exchange hashpartitioning" not in plan
+
+
+def test_parts_follow_the_files(spark, tmp_path):
+    spark.range(50_000).write.parquet(str(tmp_path / "t"))
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = spark.read.parquet(str(tmp_path / "t"))
+    size = sum(f.stat().st_size for f in (tmp_path / "t").glob("*.parquet"))
+    assert partitions_for(rows) == least and partitions_for(rows, each=1000) == -(-size // 1000)
+
+
 def test_fusion_and_ablation(spark):
     rows = [("graph", "only-graph", 1), ("cochange", "both", 1), ("directory", "both", 1), ("packages", "mate", 1)]
     base = spark.createDataFrame([("x", s, f, r) for s, f, r in rows], "anchor STRING, strategy STRING, file STRING, rank INT")
