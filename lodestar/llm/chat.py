@@ -47,9 +47,10 @@ def chain(rows: DataFrame) -> DataFrame:
 def paths(nodes: DataFrame, branches: int | None = 1) -> DataFrame:
     """(conv_id, leaf, node, depth) of the ``branches`` best root-to-leaf paths of each conversation.
 
-    Each round joins the table of ancestors with itself and so doubles how far it reaches;
-    the rounds end when no row has anything above it. A path's score is the sum over its
-    nodes; ties go to the smaller leaf. Rows without a conv_id are one conversation. ``branches=None`` keeps every path. A node whose
+    Each round joins the table of ancestors with itself and so doubles how far it reaches, twice;
+    the rounds end when no row has anything above it. Paths are read off from the leaves, the
+    longest steps first. A path's score is the sum over its nodes; ties go to the smaller leaf.
+    Rows without a conv_id are one conversation. ``branches=None`` keeps every path. A node whose
     parent is missing is a root. Each round's table is written to the shared folder.
     """
     keys = nodes.select(tree(), "node", "parent", F.coalesce("score", F.lit(0.0)).alias("score"))
@@ -58,29 +59,39 @@ def paths(nodes: DataFrame, branches: int | None = 1) -> DataFrame:
         "conv_id", "node", F.when(F.col("present"), F.col("parent")).alias("up"), F.col("score").alias("sum"), F.lit(1).cast("long").alias("length")
     )
     inner = keys.select("conv_id", F.col("parent").alias("node")).filter(F.col("node").isNotNull()).distinct()
-    # jumps[k]: who is 2 ** k above, for the nodes that are that deep; rooted: sums up to the root
-    jump = settle(jump, "chat-jump")
-    rooted, jumps = jump.filter(F.col("up").isNull()), [jump.filter(F.col("up").isNotNull())]
-    while not jumps[-1].isEmpty():
-        if len(jumps) > 40:
+    # jump: who is 4 ** k above, for the nodes that are that deep; rooted: sums up to the root;
+    # hops[k]: who is one, two and three times 4 ** k above
+    jump, hops = settle(jump, "chat-jump"), []
+    rooted, jump = jump.filter(F.col("up").isNull()), jump.filter(F.col("up").isNotNull())
+    while not jump.isEmpty():
+        if len(hops) > 20:
             raise ValueError("parents form a circle")
-        far = jumps[-1].unionByName(rooted)
-        far = far.select("conv_id", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("sum").alias("sum2"), F.col("length").alias("length2"))
-        doubled = jumps[-1].join(far, ["conv_id", "up"]).select(
-            "conv_id", "node", F.col("up2").alias("up"), (F.col("sum") + F.col("sum2")).alias("sum"), (F.col("length") + F.col("length2")).alias("length")
+        far = jump.unionByName(rooted).select(
+            "conv_id", F.col("node").alias("at"), F.col("up").alias("next"), F.col("sum").alias("sum2"), F.col("length").alias("length2")
         )
-        doubled = settle(doubled, "chat-jump")
-        rooted = rooted.unionByName(doubled.filter(F.col("up").isNull()))
-        jumps.append(doubled.filter(F.col("up").isNotNull()))
+        step = jump.withColumnRenamed("up", "up1")
+        for k in (1, 2, 3):
+            above = far.withColumnRenamed("at", f"up{k}").withColumnRenamed("next", f"up{k + 1}")
+            step = step.join(above, ["conv_id", f"up{k}"], "left").withColumns(
+                {"sum": F.col("sum") + F.coalesce("sum2", F.lit(0.0)), "length": F.col("length") + F.coalesce("length2", F.lit(0))}
+            ).drop("sum2", "length2")
+        passed = F.array_compact(F.array("up1", "up2", "up3")).alias("passed")
+        stepped = settle(step.select("conv_id", "node", F.col("up4").alias("up"), "sum", "length", passed), "chat-jump")
+        hops.append(stepped.select("conv_id", "node", "passed"))
+        stepped = stepped.drop("passed")
+        rooted, jump = rooted.unionByName(stepped.filter(F.col("up").isNull())), stepped.filter(F.col("up").isNotNull())
     leaves = rooted.join(inner, ["conv_id", "node"], "left_anti")
     if branches is not None:
         best = Window.partitionBy("conv_id").orderBy(F.desc("sum"), "node")
         leaves = leaves.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= branches)
     found = leaves.select("conv_id", F.col("node").alias("leaf"), "node", F.col("length").alias("depth"))
     found = settle(found, "chat-leaves")  # as stored columns, leaf and node are told apart by the planner
-    for k, jump in enumerate(jumps[:-1]):
-        above = found.join(jump.select("conv_id", "node", "up"), ["conv_id", "node"]).select("conv_id", "leaf", F.col("up").alias("node"), (F.col("depth") - (1 << k)).alias("depth"))
-        found = settle(found.unionByName(above), "chat-paths")  # read twice by the next round
+    for k in reversed(range(len(hops))):
+        line = F.when(F.col("passed").isNull(), F.array("node")).otherwise(F.concat(F.array("node"), "passed"))
+        above = found.join(hops[k], ["conv_id", "node"], "left").select("conv_id", "leaf", "depth", F.posexplode(line).alias("n", "node"))
+        found = above.select("conv_id", "leaf", "node", (F.col("depth") - F.col("n") * F.lit(4**k)).cast("long").alias("depth"))
+        if k % 4 == 3:
+            found = settle(found, "chat-paths")  # plans stay as short for deep trees
     return found.select("conv_id.conv_id", "leaf", "node", "depth")
 
 

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import itertools
 import math
+import os
 import random
 import re
 
@@ -18,7 +19,7 @@ import corpus_pipeline
 from lodestar.llm import chat, components, mixing, near_text, near_vectors, secret_scan, toxicity
 from lodestar.llm.common import texts_of, words_of
 from lodestar.llm.queries import BYTE_RANKS, QUERIES, TOKEN_PATTERN, WORD_VOCABULARY
-from lodestar.session import settle
+from lodestar.session import run_dir, settle
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -238,6 +239,17 @@ def test_reply_trees_rank_branches(spark):
         chat.paths(spark.createDataFrame([(1, 1, 2, 0.0), (1, 2, 1, 0.0)], "conv_id long, node long, parent long, score double"))
 
 
+def test_long_conversation_takes_few_rounds(spark):
+    rows = [(c, t, "user", str(t)) for c, n in ((1, 300), (2, 64), (3, 1)) for t in range(n)]
+    folder = run_dir(spark).removeprefix("file:")
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    nodes = chat.chain(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    found = collections.Counter((r.conv_id, r.leaf, r.node, r.depth) for r in chat.paths(nodes).collect())
+    assert found == collections.Counter((c, n, t + 1, t + 1) for c, n in ((1, 300), (2, 64), (3, 1)) for t in range(n))
+    # one table of turns, the parents, five times four times as far, the leaves, and one of half the steps
+    assert len(set(os.listdir(folder)) - before) <= 9
+
+
 def rows_of(frame, *columns):
     return collections.Counter(tuple(r[c] for c in columns) for r in frame.collect())
 
