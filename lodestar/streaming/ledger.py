@@ -1,10 +1,12 @@
-"""Attribution and repeat reads as a stream, one small state per (run, path)."""
+"""Attribution and repeat reads as a stream: windows over a micro-batch beside what earlier ones left."""
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructType
 
 from lodestar.session import run_dir
 
@@ -13,50 +15,68 @@ OUTPUT_SCHEMA = (
     "run_id STRING, path STRING, seq BIGINT, action STRING, attributed_source STRING, first_surfaced_turn INT, "
     "seen_before BOOLEAN, unchanged BOOLEAN"
 )
-STATE_SCHEMA = "source STRING, turn INT, last_action STRING, last_hash STRING"
-
-
-def _touch(key, chunks, state):
-    """Fold the new rows of one path, in order, into its state; answer reads and edits."""
-    source, turn, last_action, last_hash = state.get if state.exists else (None, None, None, None)
-    rows = pd.concat(list(chunks)).sort_values("seq")
-    out = []
-    for r in rows.itertuples(index=False):
-        if r.action == "surface":
-            if source is None:
-                source, turn = r.source, int(r.turn)
-            continue
-        known = last_action == "read"
-        is_read = r.action == "read"
-        out.append(
-            (*key, r.seq, r.action, source or "unseen", turn, is_read and known, is_read and known and last_hash == r.hash)
-        )
-        last_action, last_hash = r.action, r.hash
-    state.update((source, turn, last_action, last_hash))
-    frame = pd.DataFrame(out, columns=[c.strip().split(" ")[0] for c in OUTPUT_SCHEMA.split(",")])
-    yield frame.astype({"first_surfaced_turn": "Int32"})
-
-
-def attribute_stream(touches: DataFrame) -> DataFrame:
-    """``touches`` per :data:`TOUCH_SCHEMA`, ``action`` being surface, read or edit.
-
-    The state is keyed by run and path, so a busy run is spread over its paths. A
-    micro-batch is ordered by ``seq`` within a path; batches arrive in order.
+KEYS = ["run_id", "path"]
+
+
+def _surfaced():
+    return F.when((F.col("action") == "surface") & F.col("source").isNotNull(), F.struct("source", "turn"))
+
+
+def _touched():
+    return F.when(F.col("action") != "surface", F.struct("action", "hash"))
+
+
+def attribute(touches: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """Reads and edits of ``touches`` (:data:`TOUCH_SCHEMA`, ``action`` being surface, read or edit) per :data:`OUTPUT_SCHEMA`.
+
+    ``known(run_id, path, first, last)`` is what touches before these have left, see :func:`left_by`.
     """
-    return touches.groupBy("run_id", "path").applyInPandasWithState(
-        _touch, OUTPUT_SCHEMA, STATE_SCHEMA, "append", "NoTimeout"
+    upto = Window.partitionBy(*KEYS).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    rows = touches.withColumn("_first", F.first(_surfaced(), True).over(upto)).withColumn("_last", F.last(_touched(), True).over(upto))
+    rows = rows.filter(F.col("action") != "surface")
+    first, last = F.col("_first"), F.col("_last")
+    if known is not None:
+        rows = rows.join(known, KEYS, "left")
+        first, last = F.coalesce("first", "_first"), F.coalesce("_last", "last")
+    is_read = F.col("action") == "read"
+    seen = is_read & F.coalesce(last["action"] == "read", F.lit(False))
+    return rows.select(
+        *KEYS, "seq", "action", F.coalesce(first["source"], F.lit("unseen")).alias("attributed_source"), first["turn"].alias("first_surfaced_turn"),
+        seen.alias("seen_before"), (seen & F.coalesce(last["hash"] == F.col("hash"), F.lit(False))).alias("unchanged"),
     )
 
 
-def run_to_files(stream: DataFrame, label: str) -> str:
-    """Process what is available into Parquet files in the shared folder; their path."""
-    import uuid
-
-    base = f"{run_dir(stream.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    query = (
-        stream.writeStream.format("parquet").option("path", f"{base}/rows").option("checkpointLocation", f"{base}/state")
-        .outputMode("append").trigger(availableNow=True).start()
+def left_by(touches: DataFrame) -> DataFrame:
+    """(run_id, path, first, last): who surfaced each path first, and the last read or edit of it."""
+    return touches.groupBy(*KEYS).agg(
+        F.min_by(_surfaced(), F.when(_surfaced().isNotNull(), F.col("seq"))).alias("first"), F.max_by(_touched(), F.when(_touched().isNotNull(), F.col("seq"))).alias("last")
     )
+
+
+def attribute_to_files(touches: DataFrame, label: str) -> str:
+    """Process what is available of the stream ``touches`` into Parquet files in the shared folder; their path.
+
+    A micro-batch is ordered by ``seq`` within a path; batches arrive in order. Each writes what
+    it leaves of the paths it holds beside its rows, and reads what earlier ones left of the same
+    paths. A repeated batch overwrites its own files, so it gives the same result.
+    """
+    spark = touches.sparkSession
+    base = f"{run_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+    def apply(batch: DataFrame, number: int) -> None:
+        left = left_by(batch)
+        known = None
+        if number:
+            folders = [f"{base}/left/batch={n}" for n in range(number)]
+            earlier = batch.sparkSession.read.schema(StructType(left.schema.fields).add("batch", IntegerType())).option("basePath", f"{base}/left").parquet(*folders)
+            earlier = earlier.join(batch.select(*KEYS).distinct(), KEYS, "left_semi")
+            known = earlier.groupBy(*KEYS).agg(
+                F.min_by("first", F.when(F.col("first").isNotNull(), F.col("batch"))).alias("first"), F.max_by("last", F.when(F.col("last").isNotNull(), F.col("batch"))).alias("last")
+            )
+        attribute(batch, known).write.mode("overwrite").parquet(f"{base}/rows/batch={number}")
+        left.write.mode("overwrite").parquet(f"{base}/left/batch={number}")
+
+    query = touches.writeStream.foreachBatch(apply).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
     query.awaitTermination()
     return f"{base}/rows"
 

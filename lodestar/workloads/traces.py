@@ -412,5 +412,5 @@ def stream_attribution(spark, sf_dir):
     arriving.createOrReplaceTempView(view)
     rows = spark.sql(f"WITH {TRACE.replace('FROM events', 'FROM ' + view)} SELECT * FROM trace")
     events = rows.withColumn("paths", F.split("shown", ",")).withColumn("hash", F.concat(F.lit("h"), (F.col("k") % 3).cast("string")))
-    path = stream_ledger.run_to_files(stream_ledger.attribute_stream(stream_ledger.touches_of(events)), "attribution")
-    return spark.read.schema(stream_ledger.OUTPUT_SCHEMA).parquet(path)
+    path = stream_ledger.attribute_to_files(stream_ledger.touches_of(events), "attribution")
+    return spark.read.schema(stream_ledger.OUTPUT_SCHEMA).option("recursiveFileLookup", True).parquet(path)
