@@ -4,6 +4,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from lodestar.operators.tokens import GO_TOKENS, tokenize
 from lodestar.operators import navigate, resolve
 from lodestar.plans.indexing import index_files
 from lodestar.plans.languages import LANGUAGES, TABLES, Language, read_by
@@ -70,3 +71,36 @@ def test_go_tokens_are_dealt_once(spark, tmp_path):
     assert "Window" not in plan
     assert sorted(r["name"] for r in facts["locals"].collect()) == ["a", "k", "s"]
     assert [(r["name"], r["kind"], r["receiver"]) for r in facts["defs"].collect()] == [("Run", "method", "S")]
+
+
+def test_tokens_are_scanned_not_sorted(spark):
+    """What stands around each token of a file, against a plain reading; files do not run into each other."""
+    texts = {"a.go": "// x\nfunc f(a, b int) {\n\tg(h(1)[0]) /* y\n */ }", "b.go": "", "c.go": ") } x ( y", "d.go": "// only", "e.go": None, "f.go": "s := `a\nb` + 'c'"}
+    files = spark.createDataFrame(list(texts.items()), "file string, content string")
+    tokens = tokenize(files, GO_TOKENS)
+    assert not re.search("Window|Sort", tokens._jdf.queryExecution().optimizedPlan().toString())
+    got = {}
+    for r in sorted(tokens.collect(), key=lambda r: (r.file, r.i)):
+        got.setdefault(r.file, []).append(r)
+    assert sorted(got) == ["a.go", "c.go", "f.go"]
+    assert [r.tok for r in got["a.go"]] == "func f ( a , b int ) { g ( h ( 1 ) [ 0 ] ) }".split()
+    assert [r.line for r in got["a.go"]] == [2] * 9 + [3] * 10 + [4] and [r.endl for r in got["f.go"]] == [1, 1, 2, 2, 2]
+    for file, rows in got.items():
+        depth = {"{}": 0, "()": 0, "[]": 0}
+        stack = {}
+        for n, r in enumerate(rows):
+            assert texts[file][r.off :].startswith(r.tok)
+            for k in depth:
+                depth[k] -= r.tok == k[1]
+            assert [r.d, r.p, r.b] == list(depth.values())
+            level = r.p + (r.tok == "(")
+            if r.tok == "(":
+                stack[level] = n
+            opened = rows[stack[level]] if level in stack else None
+            assert (r.open_at, r.open_prev1) == ((opened.i, opened.prev1) if opened else (None, None))
+            for k in depth:
+                depth[k] += r.tok == k[0]
+            near = {f"prev{k}": rows[n - k].tok if n >= k else None for k in (1, 2, 3)} | {f"next{k}": rows[n + k].tok if n + k < len(rows) else None for k in (1, 2, 3, 4)}
+            assert {c: r[c] for c in near} == near
+            assert r.next_cls == (rows[n + 1].cls if n + 1 < len(rows) else None)
+            assert r.fol == (n == 0 or rows[n - 1].endl < r.line)
