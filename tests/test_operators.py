@@ -503,3 +503,19 @@ def test_clear_takes_what_was_settled(spark):
     kept = settle(spark.range(4), "kept")
     assert kept.count() == 4 and all("/lodestar/" in f and spark.sparkContext.applicationId in f for f in kept.inputFiles())
     assert clear(other) and not clear(other)
+
+
+def test_adjacency_of_a_reach_is_one_aggregate(spark, monkeypatch):
+    """Both directions and self rows come without a union, which would be shuffled again."""
+    plans, deal = [], traverse.settle_by
+
+    def dealt(df, label, by, parts):
+        plans.append((label, df._jdf.queryExecution().optimizedPlan().toString()))
+        return deal(df, label, by, parts)
+
+    monkeypatch.setattr(traverse, "settle_by", dealt)
+    edges = spark.createDataFrame([("r", "a", "b", 1.0), ("r", "b", "a", 2.0), ("r", "b", "c", 3.0), ("r", "d", "d", 4.0)], "repo string, src string, dst string, w double")
+    anchors = spark.createDataFrame([("r", "a"), ("r", "d")], "repo string, anchor string")
+    rows = traverse.reach(edges, anchors, ["repo"], parts=2).select("anchor", "file", "hop", "weight").collect()
+    assert sorted(map(tuple, rows)) == [("a", "b", 1, 2.0), ("a", "c", 2, 3.0)]
+    assert [label for label, plan in plans if "Union" in plan] == [] and "adjacency" in dict(plans)
