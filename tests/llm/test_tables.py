@@ -130,6 +130,40 @@ def test_near_duplicates(spark, monkeypatch):
     assert near_text.near_duplicates(frame.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("crowd", [0, 512])
+def test_large_keys_are_compared_whole(spark, monkeypatch, crowd):
+    """What the sketches of rests do not find is found all the same."""
+    monkeypatch.setattr(near_text, "CROWD", crowd)
+    monkeypatch.setattr(near_text, "SMALL", (2, 2, 2))
+    monkeypatch.setattr(near_text, "BLOCK", 5)
+    monkeypatch.setattr(near_text, "owed_keys", lambda checked, groups: checked.sparkSession.createDataFrame([], "doc long, key long, open boolean"))
+    rng = random.Random(12)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(3000)]
+    shared = [rng.choice(words) for _ in range(120)]
+    texts = []
+    for _ in range(6):  # pairs of near copies, whose pairs share most runs but not enough of them
+        base = shared + [rng.choice(words) for _ in range(45)]
+        texts += [base, base[:-3] + [rng.choice(words) for _ in range(3)]]
+    texts = [" ".join(t) for t in texts]
+    links = [(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if similar(texts[i], texts[j])]
+    assert links == [(2 * i, 2 * i + 1) for i in range(6)]
+    got = near_text.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.class_id for r in got} == {i: i // 2 * 2 for i in range(len(texts))}
+
+
+def test_signatures_lose_no_similar_pair(monkeypatch):
+    monkeypatch.setattr(near_text, "MOST_BITS", 512)  # so that some are crowded, and of different lengths
+    rng = random.Random(13)
+    runs = [near_text.Text(words_of(texts_of(pa.array([t or ""]))).hash).marked for t in edited_copies(rng) + ["a b", "a b c d e f g"] + ["x " * 400, "x " * 401]]
+    n = np.array([len(r) for r in runs])
+    signs = [near_text.signature(r) for r in runs]
+    near = near_text.within_reach(n, signs, n, signs)
+    both = [(i, j) for i, a in enumerate(runs) for j, b in enumerate(runs) if near_text.enough(len(set(a.tolist()) & set(b.tolist())), len(a) + len(b))]
+    assert len(both) > len(runs) and all(near[i, j] for i, j in both)
+    assert near.sum() < near.size / 2
+    assert len({len(s) for s in signs}) > 1
+
+
 def reordered_and_repeated(rng):
     """Pairs of texts with similar sets of runs: blocks in another order, or the text several times."""
     words = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(3000)]
