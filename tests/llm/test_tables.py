@@ -75,6 +75,25 @@ def test_near_vectors(spark, monkeypatch, cell):
     assert near_vectors.near_vectors(frame.limit(0)).count() == 0
 
 
+def test_vectors_are_written_once(spark, monkeypatch):
+    """What a large label writes grows with its vectors, not with the cells and blocks they meet."""
+    sizes = {}
+
+    def counted(frame, label):
+        out = settle(frame, label)
+        sizes[label] = out.agg(F.sum(F.length("unit"))).first()[0] if "unit" in out.columns else None
+        return out
+
+    monkeypatch.setattr(near_vectors, "settle", counted)
+    monkeypatch.setattr(near_vectors, "CELL", 20)
+    monkeypatch.setattr(near_vectors, "BLOCK", 4)
+    rng = np.random.default_rng(6)
+    rows = [(i, [float(x) for x in rng.normal(size=16)], 1) for i in range(200)]
+    got = near_vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got} == plain_vectors(rows)
+    assert sizes["vector-cells"] == sizes["vector-blocks"] == 200 * 16 * 8
+
+
 def similar(x, y):
     def runs(t):
         w = WORD.findall(t.lower())
